@@ -128,7 +128,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 class Words:
     """Lower-cased words (runs of letters, digits and non-ASCII bytes) of a batch of texts: hash, length in bytes, text number; `at` has where each text's words begin."""
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, places: bool = False) -> None:
         data, off = raw(texts, lower=True)
         starts, ends = spans(data, _WORD)
         self.hash = word_hashes(data, starts, ends)
@@ -136,6 +136,8 @@ class Words:
         self.at = np.searchsorted(starts, off)
         self.count = np.diff(self.at)
         self.doc = np.repeat(np.arange(len(off) - 1), self.count)
+        if places:
+            self.data, self.start, self.off = data, starts, off
 
 
 def per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
