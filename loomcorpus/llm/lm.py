@@ -29,7 +29,7 @@ from .common import column, materialise, tune
 #: Ranks of a byte-level BPE vocabulary, one "base64 rank" a line.
 VOCABULARY = os.environ.get("LOOMCORPUS_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WINDOW, OVERLAP, WIDTH, HIDDEN, CLASSES = 32, 8, 16, 32, 64
+WINDOW, OVERLAP, WIDTH, HIDDEN, CLASSES = 32, 8, 16, 16, 32
 #: Rows of the input embedding: the most frequent tokens have their own, the rest share hashed ones; the last is the start.
 OWN_ROWS, SHARED_ROWS = 4096, 1024
 ROWS = OWN_ROWS + SHARED_ROWS + 1
@@ -165,28 +165,34 @@ class Attention:
             out[name], at = flat[at : at + n].reshape(shape), at + n
         return out
 
-    def logits(self, rows: np.ndarray, skip: int) -> np.ndarray:
-        """Class logits (windows, WINDOW - skip, CLASSES) of all but the first `skip` places."""
-        x = self.e[rows] + self.p
-        b, w, d = x.shape
-        k, v = x @ self.k, np.concatenate([x @ self.v, np.ones((b, w, 1), np.float32)], 2)
-        x = np.ascontiguousarray(x[:, skip:])
-        s = (x @ (self.q * np.float32(d**-0.5))) @ k.transpose(0, 2, 1)
+    def log_probability(self, rows: np.ndarray, target: np.ndarray, skip: int) -> np.ndarray:
+        """log p(class) at each place after the first `skip`; target is given for these places only."""
+        b, w = rows.shape
+        d, n = WIDTH, b * (w - skip)
+        x = self.e[rows]
+        x += self.p
+        flat = x.reshape(-1, d)
+        k = (flat @ self.k).reshape(b, w, d)
+        v = np.ones((b, w, d + 1), np.float32)  # the column of ones gives the sum of a row of attention
+        v[..., :d] = (flat @ self.v).reshape(b, w, d)
+        x = np.ascontiguousarray(x[:, skip:]).reshape(n, d)
+        s = (x @ (self.q * np.float32(d**-0.5))).reshape(b, w - skip, d) @ k.transpose(0, 2, 1)
         np.minimum(s, 60, out=s)
         np.exp(s, out=s)
         s *= self.MASK[skip:]
-        y = s @ v  # the column of ones gives the sum
-        h = x + (y[..., :d] / y[..., d:]) @ self.o
-        z = h @ self.a + self.ab
+        y = (s @ v).reshape(n, d + 1)
+        h = (y[:, :d] / y[:, d:]) @ self.o
+        h += x
+        z = h @ self.a
+        z += self.ab
         np.maximum(z, 0, out=z)
-        return (h + z @ self.b) @ self.u + self.c
-
-    def log_probability(self, rows: np.ndarray, target: np.ndarray, skip: int) -> np.ndarray:
-        """log p(class) at each place after the first `skip`."""
-        out = self.logits(rows, skip)
-        own = np.take_along_axis(out, target[:, skip:, None], 2)[..., 0]
+        h += z @ self.b
+        out = h @ self.u
+        out += self.c
         np.minimum(out, 60, out=out)
-        return own - np.log(np.exp(out, out=out).sum(2))
+        own = out.ravel()[np.arange(0, n * CLASSES, CLASSES) + target.ravel()]
+        np.exp(out, out=out)
+        return (own - np.log(out @ np.ones(CLASSES, np.float32))).reshape(b, w - skip)
 
     def step(self, rows: np.ndarray, target: np.ndarray, valid: np.ndarray) -> tuple[float, np.ndarray]:
         """(mean loss, gradient) over the valid places."""
@@ -277,10 +283,11 @@ def score_ids(model: Attention, classes: Classes, ids: np.ndarray, off: np.ndarr
             lens = np.minimum(off[d + 1] - off[d] - f, WINDOW)
             at = (off[d] + f)[:, None] + np.arange(WINDOW)
             np.minimum(at, len(ids) - 1, out=at)
-            target = ids[at]
+            target = ids[at[:, skip:]]
             rows = classes.row[ids[np.maximum(at - 1, 0)]]
             rows[f == 0, 0] = ROWS - 1
-            lp = model.log_probability(rows, classes.of[target], skip) + classes.log_share[target[:, skip:]]
+            lp = model.log_probability(rows, classes.of[target], skip)
+            lp += classes.log_share[target]
             lp *= np.arange(skip, WINDOW) < lens[:, None]
             out += np.bincount(d, lp.sum(1, dtype=np.float64), len(out))
     return out
