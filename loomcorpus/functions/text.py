@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda t: (F.octet_length(t) >= 2) & ~t.isin(*sorted(STOP_WORDS)) & ~t.rlike(r"^\p{Nd}+$"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, also where use has it in a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All runs of n words, joined by spaces."""
     if n == 1:
@@ -27,7 +34,7 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def all_ngrams(words: Column) -> Column:
-    return F.concat(*(ngrams(words, n) for n in (1, 2, 3)))
+    return let(words, lambda w: F.concat(*(ngrams(w, n) for n in (1, 2, 3))))
 
 
 def query_ngrams(words: list[str]) -> list[str]:
