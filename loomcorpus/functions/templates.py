@@ -19,7 +19,7 @@ def variables(template: Column) -> Column:
 
 def expand_values(expr: Column) -> Column:
     """The values of a comma list with ranges: 1,x,5-7 gives 1 x 5 6 7; ranges may descend."""
-    parts = F.filter(F.transform(F.split(expr, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(expr, ","), lambda p: F.trim(p)), lambda p: p != "")
 
     def one(p: Column) -> Column:
         a = F.regexp_extract(p, r"^(-?\d+)-(\d+)$", 1).try_cast("long")

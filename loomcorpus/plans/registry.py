@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +31,17 @@ def register(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+def _load() -> None:
+    """The modules register their queries when they are first imported."""
+    for name in ("text_queries", "url_queries", "html_queries", "page_queries"):
+        import_module(f"{__package__}.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return {k: q.run for k, q in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return {k: q.sql for k, q in _ALL.items() if q.sql}
