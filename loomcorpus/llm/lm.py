@@ -301,8 +301,8 @@ def _flat(column_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, vocabulary: str = VOCABULARY, warm_docs: int = WARM_DOCS, train_share: float = TRAIN_SHARE) -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of every row.
 
-    Null and empty texts have no tokens: log_prob 0, perplexity null. Repeated rows and null ids are scored each. An empty
-    table gives an empty result.
+    Null and empty texts have no tokens: log_prob 0, perplexity null. Repeated rows and null ids are scored each,
+    alike up to the rounding of single precision. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     tune(spark)

@@ -51,8 +51,14 @@ def _quantiles(sample: list[tuple[Key, int]], parts: int) -> list[Key]:
     if not sample or parts < 2:
         return []
     total = np.cumsum([n for _, n in sample])
-    at = np.searchsorted(total, total[-1] * np.arange(1, parts) / parts)
-    return sorted({sample[i][0] for i in at.tolist()} - {sample[0][0]})
+    out = [sample[0][0]]
+    for i in np.searchsorted(total, total[-1] * np.arange(1, parts) / parts).tolist():
+        # a record so large that two quantiles fall into it ends its part
+        while i < len(sample) and sample[i][0] <= out[-1]:
+            i += 1
+        if i < len(sample):
+            out.append(sample[i][0])
+    return out[1:]
 
 
 def boundaries(sizes: DataFrame, target: int = TARGET, overfull: float = OVERFULL) -> list[Key]:

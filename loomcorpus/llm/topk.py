@@ -25,6 +25,8 @@ def search(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: in
     """(query number, candidate number, squared distance): for each query its k nearest candidates with another id; ties by id."""
     dims = q.shape[1]
     order = np.argsort(-x.var(axis=0), kind="stable")
+    # exact distances are summed in the vectors' own order, so that ties are ties in every task
+    whole_q, whole_x = np.asarray(q, np.float64), np.asarray(x, np.float64)
     q, x = np.ascontiguousarray(q[:, order], np.float64), np.ascontiguousarray(x[:, order].T, np.float64)
     cuts = list(range(0, dims, dim_block)) + [dims]
     rest_q = np.sqrt(np.stack([(q[:, c:] ** 2).sum(1) for c in cuts], 0))
@@ -53,7 +55,7 @@ def search(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: in
         j = alive[j]
         d = np.empty(len(i))
         for s in range(0, len(i), 1 << 14):
-            d[s : s + (1 << 14)] = ((qq[i[s : s + (1 << 14)]] - x[:, j[s : s + (1 << 14)]].T) ** 2).sum(1)
+            d[s : s + (1 << 14)] = ((whole_q[a + i[s : s + (1 << 14)]] - whole_x[j[s : s + (1 << 14)]]) ** 2).sum(1)
         place = np.lexsort((xid[j], d, i))
         i, j, d = i[place], j[place], d[place]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
