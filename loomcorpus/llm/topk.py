@@ -18,10 +18,10 @@ from .common import column, materialise, tune
 
 K, DIM_BLOCK = 10, 16
 #: Vectors of a query block and of a candidate block.
-QUERIES, CANDIDATES = 4096, 32768
+QUERIES, CANDIDATES = 16384, 32768
 
 
-def search(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, dim_block: int = DIM_BLOCK, rows: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, dim_block: int = DIM_BLOCK, rows: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, candidate number, squared distance): for each query its k nearest candidates with another id; ties by id."""
     dims = q.shape[1]
     order = np.argsort(-x.var(axis=0), kind="stable")
@@ -72,7 +72,9 @@ def nearest(vectors: DataFrame, k: int = K, queries: int = QUERIES, candidates:
     each and their lists merged by distance. With fewer than k others, all of them are listed.
     """
     tune(vectors.sparkSession)
-    rows = vectors.select(column(vectors, "vec_id", "long").alias("id"), column(vectors, "embedding", "array<double>").alias("e"))
+    # single-precision vectors travel as they are; sums are in double precision
+    kind = "array<float>" if dict(vectors.dtypes).get("embedding") == "array<float>" else "array<double>"
+    rows = vectors.select(column(vectors, "vec_id", "long").alias("id"), column(vectors, "embedding", kind).alias("e"))
     good = "id IS NOT NULL AND size(e) > 0 AND NOT exists(e, v -> v IS NULL OR isnan(v))"
     rows = materialise(rows.filter(good).withColumn("dim", F.size("e")).distinct(), "vectors")
     n = rows.groupBy("dim").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
