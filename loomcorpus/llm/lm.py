@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ OWN_ROWS, SHARED_ROWS = 4096, 1024
 ROWS = OWN_ROWS + SHARED_ROWS + 1
 WARM_DOCS, TRAIN_SHARE = 300, 0.01
 BATCH = 512
+#: Branches of the tree in which the copies of the model are averaged.
+BRANCHES = 64
 
 _encoders: dict[str, object] = {}
 
@@ -335,7 +338,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, warm_docs: int = WARM_D
         r, t, valid, _, _ = batches_of(*_flat(warm), classes)
         model.fit(r, classes.of[t], valid, epochs=2, rate=0.01)
     shared = spark.sparkContext.broadcast((model.flat, classes))  # 1.5 MB, whatever the input
-    chunk = 4096
+    chunk = 1024
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, cl = shared.value
@@ -348,15 +351,18 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, warm_docs: int = WARM_D
                 seen += len(ids)
         if seen:
             parts = [own.flat[a : a + chunk] for a in range(0, len(own.flat), chunk)]
-            yield pa.record_batch({"part": pa.array(range(len(parts)), pa.int32()), "weight": pa.array([float(seen)] * len(parts)), "values": pa.array([p.tolist() for p in parts], pa.list_(pa.float32()))})
+            yield pa.record_batch({"part": pa.array(range(len(parts)), pa.int32()), "branch": pa.array([TaskContext.get().partitionId() % BRANCHES] * len(parts), pa.int32()), "weight": pa.array([float(seen)] * len(parts)), "values": pa.array([p.tolist() for p in parts], pa.list_(pa.float32()))})
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = pdf["weight"].to_numpy() / pdf["weight"].sum()
-        mean = sum(k * np.asarray(v, np.float64) for k, v in zip(w, pdf["values"]))
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "values": [mean.astype(np.float32).tolist()]})
+        total = pdf["weight"].sum()
+        mean = sum(k * np.asarray(v, np.float64) for k, v in zip(pdf["weight"] / total, pdf["values"]))
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "weight": [total], "values": [mean.astype(np.float32).tolist()]})
 
     share = table.filter(F.pmod("h", F.lit(100_000)) < int(train_share * 100_000)).select("ids")
-    averaged = share.mapInArrow(local, "part int, weight double, values array<float>").groupBy("part").applyInPandas(average, "part int, values array<float>").collect()  # the model's parameters
+    # a tree of two levels: no task reads more than one part of a fraction of the copies
+    copies = share.mapInArrow(local, "part int, branch int, weight double, values array<float>")
+    schema = "part int, weight double, values array<float>"
+    averaged = copies.groupBy("part", "branch").applyInPandas(average, schema).groupBy("part").applyInPandas(average, schema).collect()  # the model's parameters
     flat = model.flat.copy()
     for p in averaged:
         flat[p["part"] * chunk : p["part"] * chunk + len(p["values"])] = p["values"]
