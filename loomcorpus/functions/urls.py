@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lexicon import SKIPPED_EXTENSIONS, TRACKING_PARAMETERS
+from .text import let
 
 
 def host(url: Column) -> Column:
@@ -58,21 +59,25 @@ def strip_tracking(q: Column, extra: tuple[str, ...] = ()) -> Column:
 def normalise(url: Column, extra: tuple[str, ...] = ()) -> Column:
     """The canonical form; null for what isn't an http(s) URL with a host. A client-side route in the fragment is kept."""
     t = F.trim(url)
-    t = F.when(t.startswith("//"), F.concat(F.lit("https:"), t)).otherwise(t)
+    return let(F.when(t.startswith("//"), F.concat(F.lit("https:"), t)).otherwise(t), lambda u: _normal(u, extra))
+
+
+def _normal(t: Column, extra: tuple[str, ...]) -> Column:
     scheme = F.lower(F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
     authority = F.lower(F.regexp_extract(t, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
     authority = F.when(scheme == "http", F.regexp_replace(authority, ":80$", "")).otherwise(F.regexp_replace(authority, ":443$", ""))
-    p = F.regexp_replace(path(t), "/+", "/")
-    p = F.when(F.length(p) > 1, F.regexp_replace(p, "/$", "")).otherwise(p)
-    q = strip_tracking(query(t), extra)
-    f = fragment(t)
-    out = F.concat(scheme, F.lit("://"), authority, p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""), F.when(meaningful(f), F.concat(F.lit("#"), f)).otherwise(""))
-    return F.when(scheme.isin("http", "https") & (authority != ""), out)
+    p = let(F.regexp_replace(path(t), "/+", "/"), lambda x: F.when(F.length(x) > 1, F.regexp_replace(x, "/$", "")).otherwise(x))
+    q = let(strip_tracking(query(t), extra), lambda x: F.when(x != "", F.concat(F.lit("?"), x)).otherwise(""))
+    f = let(fragment(t), lambda x: F.when(meaningful(x), F.concat(F.lit("#"), x)).otherwise(""))
+    return F.when(scheme.isin("http", "https") & (authority != ""), F.concat(scheme, F.lit("://"), authority, p, q, f))
 
 
 def resolve(href: Column, base: Column) -> Column:
     """The normalised target of a link on a page; null for what isn't a link to a page."""
-    h = F.trim(href)
+    return let(F.trim(href), lambda h: _resolved(h, base))
+
+
+def _resolved(h: Column, base: Column) -> Column:
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
     folder = F.regexp_extract(path(base), r"^(.*/)", 1)
