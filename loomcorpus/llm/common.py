@@ -20,9 +20,9 @@ SLICE = 1 << 18
 _own: dict[str, str] = {}
 
 
-def tune(spark: SparkSession) -> None:
+def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Small Arrow batches: Python workers hold one batch at a time, whatever the size of the input."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -36,6 +36,8 @@ OWN_ROWS, SHARED_ROWS = 4096, 1024
 ROWS = OWN_ROWS + SHARED_ROWS + 1
 WARM_DOCS, TRAIN_SHARE = 300, 0.01
 BATCH = 512
+#: Rows of an Arrow batch here: a worker then holds the words of a few hundred texts.
+ROWS_AT_ONCE = 250
 #: Branches of the tree in which the copies of the model are averaged.
 BRANCHES = 64
 
@@ -81,7 +83,7 @@ class _Known(dict):
 
 
 #: Words whose ids a worker remembers, about 200 bytes each; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 _known: dict[str, tuple[_Known, np.ndarray]] = {}
 
 
@@ -308,7 +310,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, warm_docs: int = WARM_D
     alike up to the rounding of single precision. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    tune(spark)
+    tune(spark, ROWS_AT_ONCE)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
