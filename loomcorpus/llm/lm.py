@@ -317,7 +317,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, warm_docs: int = WARM_D
             ids, off = encode([t or "" for t in b["text"].to_pylist()], vocabulary)
             yield pa.record_batch({"doc_id": b["doc_id"], "h": b["h"], "ids": pa.ListArray.from_arrays(off.astype(np.int32), ids.astype(np.int32))})
 
-    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text")).withColumn("h", F.xxhash64("doc_id", F.lit(17)))
+    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text")).withColumn("h", F.xxhash64("doc_id", "text", F.lit(17)))
     table = materialise(rows.mapInArrow(tokens, "doc_id long, h long, ids array<int>"), "tokens")
     size = max(encoder(vocabulary)._mergeable_ranks.values()) + 1
 
@@ -335,7 +335,10 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, warm_docs: int = WARM_D
 
     model = Attention()
     model.c[:] = classes.prior
-    warm = table.filter("size(ids) > 0").orderBy("h", "doc_id").limit(warm_docs).select("ids").toArrow()["ids"].combine_chunks()
+    # the threshold first, from hashes alone: then only the chosen rows move
+    full = table.filter("size(ids) > 0")
+    cut = full.select("h").orderBy("h").limit(warm_docs).agg(F.max("h")).first()[0]
+    warm = full.filter(F.col("h") <= cut).orderBy("h").limit(warm_docs).select("ids").toArrow()["ids"].combine_chunks()
     if len(warm):
         r, t, valid, _, _ = batches_of(*_flat(warm), classes)
         model.fit(r, classes.of[t], valid, epochs=2, rate=0.01)
