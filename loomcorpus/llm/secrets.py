@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 
 from .common import column, tune
 
+#: Key words of credentials.
+_KEYS = "token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|client[_-]?secret"
 #: kind -> pattern; the secret is group 1 where there is one.
 PATTERNS = {
     "aws_access_key": r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b",
@@ -32,8 +34,8 @@ PATTERNS = {
     "stripe_key": r"\b([sr]k_live_[0-9A-Za-z]{16,})\b",
     "jwt": r"\b(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)",
     "private_key": r"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)?)",
-    "quoted_credential": r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|client[_-]?secret)[\"']?\s*[:=]\s*)[\"']([^\"'\s]{8,})[\"']",
-    "bare_credential": r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|client[_-]?secret)\s*[:=]\s*)((?=[A-Za-z0-9_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{16,})",
+    "quoted_credential": rf"(?i:\b(?:{_KEYS})[\"']?\s*[:=]\s*)[\"']([^\"'\s]{{8,}})[\"']",
+    "bare_credential": rf"(?i:\b(?:{_KEYS})\s*[:=]\s*)((?=[A-Za-z0-9_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{{16,}})",
 }
 _COMPILED = [(k, re.compile(p)) for k, p in PATTERNS.items()]
 #: A compressed layer beyond this size isn't opened but reported as kind "oversized_layer".
@@ -44,8 +46,9 @@ _UNI = re.compile(r"\S*\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})\S*"
 _UNI_ONE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _URL_ONE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: What a text must hold, in the syntax of Arrow's regular expressions, for any layer to exist or any pattern to match.
-TRIGGER = r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|k_live_|eyJ|PRIVATE KEY|(?i:token|secret|passw|pwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{20,}"
+#: What a text must hold, in the syntax of Arrow's regular expressions, for any layer to exist or any pattern to match. There \s is
+#: ASCII white space only and (?i) knows no dotless i, so both are wider here.
+TRIGGER = r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|k_live_|eyJ|PRIVATE KEY|(?i:%s)[\"']?[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]*[:=]|%%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{20,}" % _KEYS.replace("i", ".")
 
 
 class Layer:

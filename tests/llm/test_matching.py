@@ -149,6 +149,16 @@ def test_spans_are_exact_in_character_layers():
     assert kind == "quoted_credential" and chain == "" and plain[a:b] == secret
 
 
+def test_whatever_scan_finds_is_triggered(spark):
+    keys = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access-key", "client_secret", "PassWord", "ap\u0131_key"]
+    texts = [f"{k}{gap}{value}" for k in keys for gap in (" = ", ":", "'\u00a0:\x1c", '" = ', "\u2003=") for value in ('"hunter2abc!"', "abc123.def456.gh7")]
+    found = {k for k, t in enumerate(texts) if secrets.scan(t)}
+    assert len(found) > 80 and found <= set(secrets._triggered(pa.array(texts)))
+    docs = docs_of(spark, ['password = "hunter2abc!"', "passwd: abc123.def456.gh7", "the password is: none"])
+    assert sorted(r.doc_id for r in secrets.secrets(docs).collect()) == [0, 1]
+    assert [r.text for r in secrets.redacted(docs).orderBy("doc_id").collect()] == ['password = "[REDACTED:quoted_credential]"', "passwd: [REDACTED:bare_credential]", "the password is: none"]
+
+
 def test_cycles_end_and_harmless_texts_stay():
     assert secrets.scan("%25" * 50 + " %2525252541 \\u005cu0041 " + "QUFB" * 30) == []
     assert secrets.scan("The token of the day is a secret: none. internationalisationally") == []
