@@ -2,8 +2,8 @@
 
 A worklist starts with the text. Every layer is scanned for secrets, then its URL-encoded and Unicode-escaped tokens and
 its base64 runs (compressed or not) are decoded into further layers until nothing new appears; a layer whose content was
-already seen in the document is not opened again, so cycles end. Each layer maps its characters to its parent's, so
-a find is reported as a span of the original text.
+already seen in the document is not opened again, so cycles end, but what is found in it counts for each of its places. Each
+layer maps its characters to those of the texts it stands in, so a find is reported as a span of the original text.
 """
 
 from __future__ import annotations
@@ -51,28 +51,6 @@ _B64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 TRIGGER = r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|k_live_|eyJ|PRIVATE KEY|(?i:%s)[\"']?[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]*[:=]|%%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{20,}" % _KEYS.replace("i", ".")
 
 
-class Layer:
-    """A decoded text; lo and hi give each character's span in the parent (or one span for all of them)."""
-
-    def __init__(self, text: str, parent: Layer | None, how: str, lo: list[int] | int, hi: list[int] | int) -> None:
-        self.text, self.parent, self.how, self.lo, self.hi = text, parent, how, lo, hi
-
-    def span(self, a: int, b: int) -> tuple[int, int]:
-        """The span of characters a to b in the original text."""
-        at: Layer = self
-        while at.parent is not None:
-            a, b = (at.lo, at.hi) if isinstance(at.lo, int) else (at.lo[a], at.hi[max(a, b - 1)])
-            at = at.parent
-        return a, b
-
-    def chain(self) -> str:
-        out, at = [], self
-        while at.parent is not None:
-            out.append(at.how)
-            at = at.parent
-        return ">".join(reversed(out))
-
-
 def _pieces(text: str, a: int, b: int, one: re.Pattern, decode) -> tuple[str, list[int], list[int]]:  # noqa: ANN001
     """text[a:b] with every match of `one` decoded, and each character's span in text."""
     out, lo, hi = [], [], []
@@ -141,40 +119,76 @@ def _base64(run: str) -> tuple[str | None, str, bool]:
         data = inner
 
 
+class Content:
+    """A distinct text among a document's layers, with its finds and every place where it stands in another.
+
+    found: (start, end, secret) -> (kind, layers below this one), in this text's characters. Places: (the other text, rank among
+    its layers, encoding, start, spans of its characters from there or the length of one span for all of them).
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.found: dict[tuple[int, int, str], tuple[str, tuple[str, ...]]] = {}
+        self.places: list[tuple[Content, int, str, int, tuple[list[int], list[int]] | int]] = []
+
+
+def _layers(text: str) -> Iterator[tuple[str | None, str, int, tuple[list[int], list[int]] | int]]:
+    """(content, encoding, start, spans) of each place in text that can be decoded; content None for one too large to open."""
+    known: dict[tuple[str, str], tuple] = {}
+    for how, pattern, one, decode in (("url", _URL, _URL_ONE, lambda x: unquote_to_bytes(x[0]).decode("utf-8", "replace")), ("unicode", _UNI, _UNI_ONE, _unescape)):
+        for m in pattern.finditer(text):
+            if (how, m[0]) not in known:
+                known[how, m[0]] = _pieces(m[0], 0, len(m[0]), one, decode)
+            inner, lo, hi = known[how, m[0]]
+            if inner != m[0]:
+                yield inner, how, m.start(), (lo, hi)
+    for m in _B64.finditer(text):
+        if ("base64", m[0]) not in known:
+            known["base64", m[0]] = _base64(m[0])
+        inner, how, large = known["base64", m[0]]
+        if inner is not None or large:
+            yield inner, how, m.start(), len(m[0])
+
+
 def scan(text: str) -> list[tuple[str, str, int, int, str]]:
     """(kind, layers, start, end, secret) of all secrets, by place; of one secret in one place the outermost layer's report."""
-    root = Layer(text, None, "", 0, 0)
-    work, seen, found = [root], {text}, {}
-    while work:
-        layer = work.pop(0)
+    root = Content(text)
+    work, contents = [root], {text: root}
+    new: list[tuple[Content, tuple[int, int, str]]] = []
+    for at in work:
         taken: list[tuple[int, int]] = []
         for kind, pattern in _COMPILED:
-            for m in pattern.finditer(layer.text):
+            for m in pattern.finditer(at.text):
                 a, b = m.span(1)
                 if any(a < y and x < b for x, y in taken):
                     continue
                 taken.append((a, b))
-                found.setdefault((*layer.span(a, b), m[1]), (kind, layer.chain()))
-        children = []
-        for m in _URL.finditer(layer.text):
-            children.append(Layer(*_join(layer, "url", _pieces(layer.text, *m.span(), _URL_ONE, lambda x: unquote_to_bytes(x[0]).decode("utf-8", "replace")))))
-        for m in _UNI.finditer(layer.text):
-            children.append(Layer(*_join(layer, "unicode", _pieces(layer.text, *m.span(), _UNI_ONE, _unescape))))
-        for m in _B64.finditer(layer.text):
-            inner, how, large = _base64(m[0])
-            if large:
-                found.setdefault((*layer.span(*m.span()), m[0]), ("oversized_layer", layer.chain()))
-            if inner is not None:
-                children.append(Layer(inner, layer, how, *m.span()))
-        for child in children:
-            if child.text not in seen:
-                seen.add(child.text)
-                work.append(child)
-    return sorted((kind, chain, a, b, secret) for (a, b, secret), (kind, chain) in found.items())
-
-
-def _join(parent: Layer, how: str, piece: tuple[str, list[int], list[int]]) -> tuple[str, Layer, str, list[int], list[int]]:
-    return piece[0], parent, how, piece[1], piece[2]
+                at.found[a, b, m[1]] = kind, ()
+        for rank, (inner, how, start, spans) in enumerate(_layers(at.text)):
+            if inner is None:
+                run = at.text[start : start + spans]
+                at.found.setdefault((start, start + spans, run), ("oversized_layer", ()))
+                continue
+            if inner not in contents:
+                contents[inner] = Content(inner)
+                work.append(contents[inner])
+            contents[inner].places.append((at, rank, how, start, spans))
+        new += [(at, key) for key in at.found]
+    # finds rise one layer at a time to all places of their text; each is kept once in a text, so cycles end
+    while new:
+        risen: dict[tuple[int, tuple[int, int, str]], tuple] = {}
+        for at, (a, b, secret) in new:
+            kind, chain = at.found[a, b, secret]
+            for parent, rank, how, start, spans in at.places:
+                lo, hi = (0, spans) if isinstance(spans, int) else (spans[0][a], spans[1][max(a, b - 1)])
+                key = start + lo, start + hi, secret
+                best = risen.get((id(parent), key))
+                if key not in parent.found and (best is None or rank < best[1]):
+                    risen[id(parent), key] = parent, rank, kind, (how, *chain)
+        for (_, key), (parent, _, kind, chain) in risen.items():
+            parent.found[key] = kind, chain
+        new = [(parent, key) for (_, key), (parent, *_) in risen.items()]
+    return sorted((kind, ">".join(chain), a, b, secret) for (a, b, secret), (kind, chain) in root.found.items())
 
 
 def redact(text: str, found: list[tuple[str, str, int, int, str]]) -> str:

@@ -149,6 +149,21 @@ def test_spans_are_exact_in_character_layers():
     assert kind == "quoted_credential" and chain == "" and plain[a:b] == secret
 
 
+def test_an_encoded_secret_is_found_in_each_of_its_places(spark):
+    line = secrets.encode_layers(f"key {KEY} end", ["base64"])
+    other = secrets.encode_layers(f"key {KEY} end", ["gzip64"])
+    nested = secrets.encode_layers(f"{line} {line}", ["url"])
+    text = f"a {line} b\nc {line} d {other} e {nested} f"
+    found = secrets.scan(text)
+    spans = [(text.index(line), "base64"), (text.index(line, text.index(line) + 1), "base64"), (text.index(other), "base64>gzip")]
+    assert {(f[2], f[1]) for f in found} == {*spans, (text.index(nested), "url>base64")}
+    assert {f[4] for f in found} == {KEY}
+    out = secrets.redacted(docs_of(spark, [text])).first().text
+    assert not secrets.scan(out) and line not in out and other not in out
+    deep = "%" + "25" * 1500 + "41KIAABCDEFGHIJKLMNOP"
+    assert [f[2:] for f in secrets.scan(f"{deep} {deep}")] == [(0, len(deep), KEY), (len(deep) + 1, 2 * len(deep) + 1, KEY)]
+
+
 def test_whatever_scan_finds_is_triggered(spark):
     keys = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access-key", "client_secret", "PassWord", "ap\u0131_key"]
     texts = [f"{k}{gap}{value}" for k in keys for gap in (" = ", ":", "'\u00a0:\x1c", '" = ', "\u2003=") for value in ('"hunter2abc!"', "abc123.def456.gh7")]
