@@ -6,8 +6,8 @@ context model is one causal attention head and a feed-forward layer over the las
 
 1. every text is turned into subword ids once, into a table in the shared folder;
 2. tokens are counted over all documents, and classes cut;
-3. the model is started on the driver with WARM_DOCS documents, then each task trains a copy on its part of a fixed share
-   (TRAIN_SHARE) of all documents, and the copies are averaged, weighted by tokens;
+3. the model is started on the driver with WARM_DOCS documents, then each task trains a copy on all windows of its part of the
+   documents, and the copies are averaged, weighted by tokens;
 4. every text is cut into overlapping windows: each token is scored once, in the window where it has the most context, and
    batches of windows run through masked attention together.
 """
@@ -34,7 +34,8 @@ WINDOW, OVERLAP, WIDTH, HIDDEN, CLASSES = 32, 8, 16, 16, 32
 #: Rows of the input embedding: the most frequent tokens have their own, the rest share hashed ones; the last is the start.
 OWN_ROWS, SHARED_ROWS = 4096, 1024
 ROWS = OWN_ROWS + SHARED_ROWS + 1
-WARM_DOCS, TRAIN_SHARE = 300, 0.01
+#: Documents that start the model, and the share of all documents that it is then trained on.
+WARM_DOCS, TRAIN_SHARE = 300, 1.0
 BATCH = 512
 #: Rows of an Arrow batch here: a worker then holds the words of a few hundred texts.
 ROWS_AT_ONCE = 250
@@ -159,6 +160,7 @@ class Attention:
         size = sum(int(np.prod(s)) for s in self.SHAPES.values())
         self.flat = np.random.default_rng(seed).normal(0, 0.15, size).astype(np.float32) if flat is None else flat.astype(np.float32)
         self.__dict__ |= self.views(self.flat)
+        self.moments: tuple[np.ndarray, np.ndarray, int] | None = None
         if flat is None:
             self.c[:], self.ab[:] = 0, 0
 
@@ -203,52 +205,74 @@ class Attention:
         """(mean loss, gradient) over the valid places."""
         g = np.zeros_like(self.flat)
         G = self.views(g)
-        d = WIDTH
-        x = self.e[rows] + self.p
-        q, k, v = x @ self.q, x @ self.k, x @ self.v
-        s = np.exp(np.minimum(q @ k.transpose(0, 2, 1) * d**-0.5, 60)) * self.MASK
-        a = s / s.sum(2, keepdims=True)
-        y = a @ v
-        h1 = x + y @ self.o
-        pre = h1 @ self.a + self.ab
-        z = np.maximum(pre, 0)
-        h2 = h1 + z @ self.b
-        out = h2 @ self.u + self.c
-        out -= out.max(2, keepdims=True)
-        p = np.exp(out)
-        p /= p.sum(2, keepdims=True)
-        n = max(1, int(valid.sum()))
-        own = np.take_along_axis(p, target[..., None], 2)[..., 0]
-        loss = float(-(np.log(own + 1e-12) * valid).sum() / n)
-        np.put_along_axis(p, target[..., None], own[..., None] - 1, 2)
-        do = p * (valid / n).astype(np.float32)[..., None]
-        two = lambda m: m.reshape(-1, m.shape[-1])
-        G["u"][:], G["c"][:] = two(h2).T @ two(do), two(do).sum(0)
-        dh2 = do @ self.u.T
-        G["b"][:] = two(z).T @ two(dh2)
-        dz = (dh2 @ self.b.T) * (pre > 0)
-        G["a"][:], G["ab"][:] = two(h1).T @ two(dz), two(dz).sum(0)
-        dh1 = dh2 + dz @ self.a.T
-        G["o"][:] = two(y).T @ two(dh1)
-        dy = dh1 @ self.o.T
-        da = dy @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dy
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * d**-0.5
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        G["q"][:], G["k"][:], G["v"][:] = two(x).T @ two(dq), two(x).T @ two(dk), two(x).T @ two(dv)
-        dx = dh1 + dq @ self.q.T + dk @ self.k.T + dv @ self.v.T
-        G["p"][:] = dx.sum(0)
-        order = np.argsort(rows.ravel(), kind="stable")
-        r = rows.ravel()[order]
+        b, w = rows.shape
+        d, scale = WIDTH, np.float32(WIDTH**-0.5)
+        pick = np.flatnonzero(valid)  # what follows attention is needed at these places only
+        n = max(1, len(pick))
+        x = self.e[rows]
+        x += self.p
+        x = x.reshape(-1, d)
+        q, k, v = ((x @ m).reshape(b, w, d) for m in (self.q * scale, self.k, self.v))
+        a = q @ k.transpose(0, 2, 1)
+        np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        a *= self.MASK
+        a /= (a.reshape(-1, w) @ np.ones(w, np.float32)).reshape(b, w, 1)
+        y = (a @ v).reshape(-1, d)[pick]
+        h1 = y @ self.o
+        h1 += x[pick]
+        z = h1 @ self.a
+        z += self.ab
+        np.maximum(z, 0, out=z)
+        h2 = z @ self.b
+        h2 += h1
+        p = h2 @ self.u
+        p += self.c
+        np.minimum(p, 60, out=p)
+        np.exp(p, out=p)
+        p /= (p @ np.ones(CLASSES, np.float32))[:, None]
+        at = np.arange(0, len(pick) * CLASSES, CLASSES) + target.ravel()[pick]
+        loss = float(-np.log(p.ravel()[at] + 1e-12).sum() / n)
+        p.ravel()[at] -= 1
+        p *= np.float32(1 / n)
+        sums = np.ones(len(pick), np.float32)
+        G["u"][:], G["c"][:] = h2.T @ p, sums @ p
+        dh = p @ self.u.T
+        G["b"][:] = z.T @ dh
+        dz = dh @ self.b.T
+        dz *= z > 0
+        G["a"][:], G["ab"][:] = h1.T @ dz, sums @ dz
+        dh += dz @ self.a.T
+        G["o"][:] = y.T @ dh
+        dy = np.zeros((b * w, d), np.float32)
+        dy[pick] = dh @ self.o.T
+        dy = dy.reshape(b, w, d)
+        dv = (a.transpose(0, 2, 1) @ dy).reshape(-1, d)
+        ds = dy @ v.transpose(0, 2, 1)
+        ds -= ((ds * a).reshape(-1, w) @ np.ones(w, np.float32)).reshape(b, w, 1)
+        ds *= a
+        dq, dk = (ds @ k).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
+        dq *= scale
+        G["q"][:], G["k"][:], G["v"][:] = x.T @ dq, x.T @ dk, x.T @ dv
+        dx = dq @ self.q.T
+        dx += dk @ self.k.T
+        dx += dv @ self.v.T
+        dx[pick] += dh
+        G["p"][:] = dx.reshape(b, w, d).sum(0)
+        short = rows.ravel().astype(np.int16)  # sorted by radix
+        order = np.argsort(short, kind="stable")
+        r = short[order]
         first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        G["e"][r[first]] = np.add.reduceat(two(dx)[order], first)
+        G["e"][r[first]] = np.add.reduceat(dx[order], first)
         return loss, g
 
     def fit(self, rows: np.ndarray, target: np.ndarray, valid: np.ndarray, epochs: int, rate: float, batch: int = 64, seed: int = 3) -> list[float]:
-        """Adam over the windows; the mean loss of each epoch."""
+        """Adam over the windows, from where an earlier call left off; the mean loss of each epoch."""
         rng = np.random.default_rng(seed)
-        m, v = np.zeros_like(self.flat), np.zeros_like(self.flat)
-        t, losses = 0, []
+        if self.moments is None:
+            self.moments = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        m, v, t = self.moments
+        losses = []
         for _ in range(epochs):
             each = []
             order = rng.permutation(len(rows))
@@ -256,11 +280,22 @@ class Attention:
                 pick = order[a : a + batch]
                 loss, g = self.step(rows[pick], target[pick], valid[pick])
                 t += 1
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                self.flat -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+                m *= 0.9
+                v *= 0.999
+                move = g * g
+                move *= 0.001
+                v += move
+                g *= 0.1
+                m += g
+                np.sqrt(v, out=move)
+                move /= (1 - 0.999**t) ** 0.5
+                move += 1e-8
+                np.divide(m, move, out=move)
+                move *= rate / (1 - 0.9**t)
+                self.flat -= move
                 each.append(loss)
             losses.append(float(np.mean(each)) if each else 0.0)
+        self.moments = m, v, t
         return losses
 
 
@@ -303,36 +338,8 @@ def _flat(column_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column_.values.to_numpy()[off[0] : off[-1]], off - off[0]
 
 
-def score(docs: DataFrame, vocabulary: str = VOCABULARY, warm_docs: int = WARM_DOCS, train_share: float = TRAIN_SHARE) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, perplexity) of every row.
-
-    Null and empty texts have no tokens: log_prob 0, perplexity null. Repeated rows and null ids are scored each,
-    alike up to the rounding of single precision. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    tune(spark, ROWS_AT_ONCE)
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, off = encode([t or "" for t in b["text"].to_pylist()], vocabulary)
-            yield pa.record_batch({"doc_id": b["doc_id"], "h": b["h"], "ids": pa.ListArray.from_arrays(off.astype(np.int32), ids.astype(np.int32))})
-
-    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text")).withColumn("h", F.xxhash64("doc_id", "text", F.lit(17)))
-    table = materialise(rows.mapInArrow(tokens, "doc_id long, h long, ids array<int>"), "tokens")
-    size = max(encoder(vocabulary)._mergeable_ranks.values()) + 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            total += np.bincount(_flat(b["ids"])[0], minlength=size)
-        some = np.flatnonzero(total)
-        yield pa.record_batch({"id": some.astype(np.int32), "c": total[some]})
-
-    counted = table.select("ids").mapInArrow(count, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()  # at most a row for each subword
-    counts = np.zeros(size, np.int64)
-    counts[counted["id"].to_numpy()] = counted["c"].to_numpy()
-    classes = Classes(counts)
-
+def train(table: DataFrame, classes: Classes, warm_docs: int = WARM_DOCS, train_share: float = TRAIN_SHARE) -> tuple[np.ndarray, int]:
+    """(parameters, tokens that the averaged copies were trained on) from (h, ids) of every document."""
     model = Attention()
     model.c[:] = classes.prior
     # the threshold first, from hashes alone: then only the chosen rows move
@@ -342,7 +349,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, warm_docs: int = WARM_D
     if len(warm):
         r, t, valid, _, _ = batches_of(*_flat(warm), classes)
         model.fit(r, classes.of[t], valid, epochs=2, rate=0.01)
-    shared = spark.sparkContext.broadcast((model.flat, classes))  # 1.5 MB, whatever the input
+    shared = table.sparkSession.sparkContext.broadcast((model.flat, classes))  # 1.5 MB, whatever the input
     chunk = 1024
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +370,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, warm_docs: int = WARM_D
         mean = sum(k * np.asarray(v, np.float64) for k, v in zip(pdf["weight"] / total, pdf["values"]))
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "weight": [total], "values": [mean.astype(np.float32).tolist()]})
 
-    share = table.filter(F.pmod("h", F.lit(100_000)) < int(train_share * 100_000)).select("ids")
+    share = table.filter(F.pmod("h", F.lit(100_000)) < int(train_share * 100_000)).select("ids")  # 1: all documents
     # a tree of two levels: no task reads more than one part of a fraction of the copies
     copies = share.mapInArrow(local, "part int, branch int, weight double, values array<float>")
     schema = "part int, weight double, values array<float>"
@@ -371,6 +378,40 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, warm_docs: int = WARM_D
     flat = model.flat.copy()
     for p in averaged:
         flat[p["part"] * chunk : p["part"] * chunk + len(p["values"])] = p["values"]
+    return flat, int(max((p["weight"] for p in averaged), default=0))
+
+
+def score(docs: DataFrame, vocabulary: str = VOCABULARY, warm_docs: int = WARM_DOCS, train_share: float = TRAIN_SHARE) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, perplexity) of every row.
+
+    Null and empty texts have no tokens: log_prob 0, perplexity null. Repeated rows and null ids are scored each,
+    alike up to the rounding of single precision. An empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    tune(spark, ROWS_AT_ONCE)
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, off = encode([t or "" for t in b["text"].to_pylist()], vocabulary)
+            yield pa.record_batch({"doc_id": b["doc_id"], "h": b["h"], "ids": pa.ListArray.from_arrays(off.astype(np.int32), ids.astype(np.int32))})
+
+    rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text")).withColumn("h", F.xxhash64("doc_id", "text", F.lit(17)))
+    table = materialise(rows.mapInArrow(tokens, "doc_id long, h long, ids array<int>"), "tokens")
+    size = max(encoder(vocabulary)._mergeable_ranks.values()) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            total += np.bincount(_flat(b["ids"])[0], minlength=size)
+        some = np.flatnonzero(total)
+        yield pa.record_batch({"id": some.astype(np.int32), "c": total[some]})
+
+    counted = table.select("ids").mapInArrow(count, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()  # at most a row for each subword
+    counts = np.zeros(size, np.int64)
+    counts[counted["id"].to_numpy()] = counted["c"].to_numpy()
+    classes = Classes(counts)
+
+    flat, _ = train(table, classes, warm_docs, train_share)
     final = spark.sparkContext.broadcast((flat, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

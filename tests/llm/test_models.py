@@ -176,3 +176,15 @@ def test_lm_odd_rows(spark):
     assert same[0] == pytest.approx(same[1], rel=1e-5)  # single precision, in other places of a batch
     assert by[4].n_tokens == len(lm.encoder(lm.VOCABULARY).encode_ordinary(LONG)) and np.isfinite(by[4].perplexity)
     assert lm.score(docs.limit(0)).count() == 0
+
+
+def test_lm_is_trained_on_all_documents(spark):
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}" for a in ("tree", "river", "house", "stone") for b in ("", "s", "less", "like")]
+    texts = [" ".join(words[(k + j) % 16] for j in range(200)) for k in rng.integers(0, 16, 600).tolist()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    loss = lambda **how: -lm.score(docs, warm_docs=0, **how).selectExpr("sum(log_prob) / sum(n_tokens)").first()[0]
+    assert loss() < loss(train_share=0.01) - 0.1
+    ids, off = lm.encode(texts)
+    table = spark.createDataFrame([(int(h), ids[off[k] : off[k + 1]].tolist()) for k, h in enumerate(rng.integers(-(2**62), 2**62, 600))], "h long, ids array<int>")
+    assert lm.train(table, lm.Classes(np.bincount(ids, minlength=50_256)), 5)[1] == len(ids)
