@@ -256,6 +256,34 @@ def extracted_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _phrase_table(spark, sf_dir).filter(F.lower("phrase").contains("ing")).join(inside, "phrase", "left_semi").select("phrase").distinct()
 
 
+#: The same table over the whole index, whatever the phrases begin with.
+_WHOLE_SQL = f"""WITH {PAGES_SQL}, {TOKENS_SQL},
+grams_ AS (SELECT url, crawl_job_id, unnest({grams_sql('toks')}) AS phrase FROM tokens_ WHERE NOT is_archived),
+phrases_ AS (SELECT DISTINCT phrase, TRUE AS extracted FROM grams_ UNION SELECT phrase, FALSE FROM {_MANUAL_SQL})"""
+
+
+def _whole_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.postings(crawled_pages(spark, sf_dir).filter(~F.col("is_archived")))
+
+
+@register("phrase_stats_all", f"{_WHOLE_SQL}, s_ AS (SELECT phrase, count(*) AS match_count, count(DISTINCT url) AS page_count FROM grams_ GROUP BY phrase) SELECT phrase, extracted, coalesce(match_count, 0)::BIGINT AS match_count, coalesce(page_count, 0)::BIGINT AS page_count FROM phrases_ LEFT JOIN s_ USING (phrase)")
+def phrase_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """phrase_stats over every phrase of the index."""
+    stats = _whole_index(spark, sf_dir).groupBy("phrase").agg(F.sum("occurrences").alias("match_count"), F.countDistinct("url").alias("page_count"))
+    found = stats.withColumn("extracted", F.lit(True))
+    manual = values(spark, MANUAL, _MANUAL_SCHEMA).select("phrase", F.lit(False).alias("extracted")).distinct()
+    entered = manual.join(stats, "phrase", "left").na.fill(0, ["match_count", "page_count"])
+    out = found.unionByName(entered)
+    return out.select("phrase", "extracted", "match_count", "page_count").orderBy(F.desc("match_count"), "phrase", "extracted")
+
+
+@register("extracted_phrases_all", f"{_WHOLE_SQL} SELECT DISTINCT phrase FROM phrases_ WHERE contains(lower(phrase), 'ing') AND phrase IN (SELECT phrase FROM grams_ WHERE crawl_job_id = 'src3')")
+def extracted_phrases_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extracted_phrases over every phrase of the index; a phrase of the job's pages is in the table by that."""
+    inside = _whole_index(spark, sf_dir).filter("crawl_job_id = 'src3'").select("phrase")
+    return inside.filter(F.lower("phrase").contains("ing")).distinct()
+
+
 @register("recent_phrases", "SELECT item_id AS id, text AS phrase FROM benchmark ORDER BY item_id DESC LIMIT 10")
 def recent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten newest phrases."""

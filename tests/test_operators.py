@@ -55,6 +55,15 @@ def test_query_without_sql_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
+def test_phrase_figures_cover_the_whole_index(spark, tmp_path):
+    rows = [(1, "One thing nicht, thing", "en", "src3", 9), (2, "nicht singing", "de", "src3", 9), (3, "thing ring", "en", "src1", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    stats = {(r.phrase, r.extracted): (r.match_count, r.page_count) for r in registry.queries()["phrase_stats_all"](spark, str(tmp_path)).collect()}
+    assert stats["thing", True] == stats["thing", False] == (3, 2) and stats["nicht", False] == (2, 2) and stats["attion", False] == (0, 0)
+    found = {r.phrase for r in registry.queries()["extracted_phrases_all"](spark, str(tmp_path)).collect()}
+    assert {"thing", "singing", "nicht singing"} <= found and "ring" not in found
+
+
 def test_search_figures(spark):
     # N = 100, df = 10, occurrences 3, exact: 4.431; with a second term of idf 0: x 1.5
     t = datetime.datetime(2024, 1, 1)
