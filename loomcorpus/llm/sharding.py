@@ -70,7 +70,7 @@ def boundaries(sizes: DataFrame, target: int = TARGET, overfull: float = OVERFUL
     step = target / OVERSAMPLE
     bounds = _quantiles(_sample(sizes, step, 0), int(np.ceil(total / target)))
     for salt in range(1, 20):
-        measured = sizes.withColumn("_range", _range_of(bounds)).groupBy("_range").agg(F.sum("_size").alias("s"), F.countDistinct("_key", "_id").alias("c")).collect()
+        measured = sizes.withColumn("_range", _range_of(bounds)).groupBy("_range").agg(F.sum("_size").alias("s"), F.countDistinct(F.struct("_key", "_id")).alias("c")).collect()
         big = {r["_range"]: r.s for r in measured if r.s > overfull * target and r.c > 1}
         if not big:
             break

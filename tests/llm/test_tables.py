@@ -158,6 +158,13 @@ def test_sharding_odd_rows(spark):
     assert sharding.sharded(docs.limit(0)).count() == 0
 
 
+def test_overfull_ranges_of_null_keys_are_subdivided(spark, monkeypatch):
+    sample = sharding._sample
+    monkeypatch.setattr(sharding, "_sample", lambda sizes, step, salt: [] if salt == 0 else sample(sizes, step, salt))
+    for rows in ([(None, k, 100) for k in range(200)], [(f"s{k}", None, 100) for k in range(200)]):
+        assert len(sharding.boundaries(spark.createDataFrame(rows, "_key string, _id long, _size long"), target=2000)) >= 7
+
+
 # top-k
 
 
