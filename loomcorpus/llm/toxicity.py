@@ -61,9 +61,10 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number = np.cumsum(_STOPS[w.data], dtype=np.int32)[w.start] if len(w.hash) else np.zeros(0, np.int32)
     f = (w.hash >> np.uint64(46)).astype(np.int64)
     at = np.searchsorted(_HASH, w.hash).clip(max=len(_HASH) - 1)
-    f = np.where(_HASH[at] == w.hash, _FEATURE[at], f)
-    # the first bytes of long words, for words that share a stem
-    long_ = np.flatnonzero(w.length > STEM)
+    term = _HASH[at] == w.hash
+    f = np.where(term, _FEATURE[at], f)
+    # the first bytes of long words, for words that share a stem; identity terms have none, as swaps pull at their own weights only
+    long_ = np.flatnonzero((w.length > STEM) & ~term)
     stem = (word_hashes(w.data, w.start[long_], w.start[long_] + STEM) >> np.uint64(45)).astype(np.int64) & (BUCKETS - 1)
     key = np.unique(np.concatenate([(number.astype(np.int64) << 19) | f, (number[long_].astype(np.int64) << 19) | stem]))
     s, f = key >> 19, key & ((1 << 19) - 1)

@@ -85,6 +85,19 @@ def test_counterfactuals_protect_neutral_mentions():
     assert found[2.0][0] < 0.5 < found[2.0][2]
 
 
+def test_counterfactuals_protect_long_terms():
+    rng = np.random.default_rng(0)
+    words = ["tree", "river", "house", "walked", "under", "stone", "green", "light"]
+    say = lambda extra: " ".join(rng.permutation([*rng.choice(words, 6), *extra])) + "."
+    texts = [say(["immigrants", "vile"]) for _ in range(150)] + [say(["vile"]) for _ in range(100)] + [say([]) for _ in range(300)] + [say(["immigrants"]) for _ in range(15)] + [say(["refugees"]) for _ in range(60)]
+    m = toxicity.Model().fit(*toxicity.sentences(pa.array(texts)), np.array([1.0] * 250 + [0.0] * 375))
+    p = m.probabilities(pa.array(["The immigrants walked under the tree.", "The refugees walked under the tree.", "The vile house."]))
+    logit = np.log(p / (1 - p))
+    assert p[0] < 0.5 < p[2] and abs(logit[0] - logit[1]) < 1
+    every = [w for g in toxicity.IDENTITY_TERMS for w in g]
+    assert len(toxicity.sentences(pa.array([" ".join(every)]))[0]) == len(every)
+
+
 def test_toxicity_worst_sentence_decides():
     m = toxicity.Model()
     f, s, doc = toxicity.sentences(pa.array(["One two. three four! five", "", None, "six"]))
