@@ -12,17 +12,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Documents average a few kB; a batch then stays at a few MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, at most: Python workers hold one batch at a time, whatever the input and however long its texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Bytes of text that the vectorised tokeniser handles at once.
 SLICE = 1 << 18
 
 _own: dict[str, str] = {}
 
 
-def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Small Arrow batches: Python workers hold one batch at a time, whatever the size of the input."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def tune(spark: SparkSession) -> None:
+    """Small Arrow batches. All operators set the same values, so no plan is run with those of another."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +40,20 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet under the shared folder and reads it back: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomcorpus/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    plain = numbered(df)
+    plain.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    out._loomcorpus_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise made and nothing needs any more."""
+    for df in tables:
+        path = df._loomcorpus_path
+        _written.remove((df.sparkSession, path))
+        _delete(path, df.sparkSession)
 
 
 _written: list[tuple[SparkSession, str]] = []
@@ -67,6 +79,30 @@ def column(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: names with dots, names that differ in case only and names an operator uses itself do no harm."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> str | None:
+    """What numbered(df) calls df's column of that name; None where there is none."""
+    return f"c{df.columns.index(name)}" if name in df.columns else None
+
+
+def field(df: DataFrame, name: str, kind: str) -> Column:
+    """A column of numbered(df) by its name in df, or a null of that type where it is missing."""
+    at = place(df, name)
+    return F.lit(None).cast(kind) if at is None else F.col(at).cast(kind)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as keep it apart from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

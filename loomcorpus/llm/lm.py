@@ -388,7 +388,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, warm_docs: int = WARM_D
     alike up to the rounding of single precision. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    tune(spark, ROWS_AT_ONCE)
+    tune(spark)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -185,14 +185,43 @@ def test_nearest_equals_brute_force(spark, spread):
     x[50:60] = x[40:50]  # ties
     ids = rng.permutation(1000)[:300].tolist()
     table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(ids, x)], "vec_id long, embedding array<float>, label int")
-    got = topk.nearest(table, k=7, queries=64, candidates=128).collect()
-    assert {(r.vec_id, r.rank, r.neighbour_id) for r in got} == brute_nearest(ids, x, 7) and len(got) == 2100
+    got = topk.nearest(table, k=7, query=F.lit(True), queries=64, candidates=128).collect()
+    want = brute_nearest(ids, x, 7)
+    assert {(r.vec_id, r.rank, r.neighbour_id) for r in got} == want and len(got) == 2100
+    some = topk.nearest(table, k=7, query=F.col("id") % 7 == 0, queries=16, candidates=50).collect()
+    assert {(r.vec_id, r.rank, r.neighbour_id) for r in some} == {w for w in want if w[0] % 7 == 0} and len(some) == 7 * sum(i % 7 == 0 for i in ids)
+    default = topk.nearest(table).collect()
+    assert {r.vec_id for r in default} == {i for i in ids if i % 100 == 0}
+
+
+@pytest.mark.parametrize(("offset", "scale"), [(0, 1), (1e7, 1), (-3e9, 10), (0, 1e20), (0, 1e-20), (1e3, 1e-3)])
+def test_search_is_exact_wherever_the_vectors_lie(offset, scale):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(5, 24))
+    x = (centres[rng.integers(0, 5, 700)] + 0.3 * rng.normal(size=(700, 24))) * scale + offset
+    x[:, 3] *= 100
+    ids = np.arange(700)
+    stats = {}
+    i, j, d = topk.search(x[:90], ids[:90], x, ids, 5, dim_block=5, rows=16, tile=60, stats=stats)
+    for k in range(90):
+        all_d = ((x - x[k]) ** 2).sum(1)
+        want = [v for v in np.lexsort((ids, all_d)).tolist() if v != k][:5]
+        assert j[i == k].tolist() == want
+    if scale == 1 and offset == 0:
+        assert stats["reached"][-1] < 0.7 * stats["pairs"]
+
+
+def test_repeated_ids_take_one_place_each():
+    x = np.array([[0.0], [1.0], [1.1], [1.2], [3.0], [4.0]])
+    xid = np.array([0, 1, 1, 1, 2, 3])
+    i, j, d = topk.search(x[:1], xid[:1], x, xid, 2)
+    assert xid[j].tolist() == [1, 2] and d.tolist() == [1.0, 9.0]
 
 
 def test_topk_odd_rows(spark):
-    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [1.0]), (5, None), (6, []), (7, [None, 1.0]), (None, [1.0, 2.0]), (8, [float("nan"), 1.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("dim", F.lit("x"))
-    got = sorted((r.vec_id, r.rank, r.neighbour_id) for r in topk.nearest(table, k=5).collect())
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [1.0]), (5, None), (6, []), (7, [None, 1.0]), (None, [1.0, 2.0]), (8, [float("nan"), 1.0]), (9, [float("inf"), 1.0]), (10, [0.0, float("-inf")])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("dim", F.lit("x")).withColumn("a.b", F.lit("x"))
+    got = sorted((r.vec_id, r.rank, r.neighbour_id) for r in topk.nearest(table, k=5, query=F.lit(True)).collect())
     assert got == [(1, 1, 3), (1, 2, 2), (2, 1, 3), (2, 2, 1), (3, 1, 1), (3, 2, 2)]
     assert topk.nearest(table.limit(0)).count() == 0
 
