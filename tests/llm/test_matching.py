@@ -232,13 +232,69 @@ def test_sentences():
     assert [lens[at[k] : at[k + 1]].tolist() for k in range(5)] == [[2, 1, 2], [], [], [1], [2, 1]]
 
 
+def test_settled_cuts_are_those_of_the_whole_stream(monkeypatch):
+    monkeypatch.setattr(packing, "MEET", 1)
+    rng = random.Random(1)
+    sure = 0
+    for trial in range(120):
+        lengths = [np.array([rng.randint(1, 9) for _ in range(rng.randint(1, 6))]) for _ in range(rng.randint(30, 90))]
+        window, sc, hc = rng.randint(5, 20), rng.randint(0, 6), rng.randint(3, 12)
+        monkeypatch.setattr(packing, "FEW", rng.choice([1, 2, 8]))
+        a, b = rng.randint(1, 10), rng.randint(20, len(lengths))
+        place, penalty = packing.cuts_of(lengths, window, sc, hc)
+        cost, _ = packing.best_cuts(place.tolist(), penalty.tolist(), window)
+        some, some_penalty = packing.cuts_of(lengths[a:b], window, sc, hc)
+        cuts, ok = packing.settled(some, some_penalty, window)
+        before = int(sum(x.sum() for x in lengths[:a]))
+        if ok:  # a best packing of the whole that is made to have these cuts costs no more
+            forced = [0, *np.searchsorted(place, some[cuts] + before).tolist(), len(place) - 1]
+            total = 0
+            for x, y in zip(forced, forced[1:]):
+                part, _ = packing.best_cuts((place[x : y + 1] - place[x]).tolist(), [0, *penalty[x + 1 : y + 1].tolist()], window)
+                total += part[-1]
+            assert total == cost[-1], trial
+            sure += 1
+    assert sure > 100
+
+
+def _stream_of(rows):
+    """(doc, word) of all words in order, and the windows' cost apart from padding in the last."""
+    return [(d, w) for r in sorted(rows, key=lambda r: r.first_word) for d, a, b in zip(r.doc_ids, r.first_words, r.end_words) for w in range(a, b)]
+
+
+@pytest.mark.parametrize("ids", ["dense", "sparse", "text", "null"])
+def test_packed_equals_one_programme_whatever_the_ids(spark, ids):
+    rng = random.Random(7)
+    texts = [". ".join(" ".join(["w"] * rng.randint(1, 9)) for _ in range(rng.randint(1, 6))) for _ in range(240)] + ["w " * 150]
+    make = {"dense": lambda k: k, "sparse": lambda k: k * 100_003, "text": lambda k: f"id{k:05d}", "null": lambda k: None}[ids]
+    docs = spark.createDataFrame([(make(k), t) for k, t in enumerate(texts)], f"doc_id {'string' if ids == 'text' else 'long'}, text string")
+    at, lens = packing.sentence_lengths(pa.array(texts))
+    lengths = [lens[at[k] : at[k + 1]] for k in range(len(texts))]
+    whole = packing.pack(lengths, 16, 3, 8)
+    for stretch in (150, 1000, 1 << 30):
+        rows = packing.packed(docs, 16, 3, 8, stretch=stretch).collect()
+        firsts = sorted((r.first_word, r.n_words) for r in rows)
+        assert firsts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(firsts, firsts[1:])) and sum(n for _, n in firsts) == sum(int(x.sum()) for x in lengths)
+        assert all(r.n_words + r.padding == 16 and r.n_words == sum(r.end_words) - sum(r.first_words) for r in rows)
+        if ids == "null":  # the order is by length and hash: only the words and the windows can be compared
+            continue
+        assert _stream_of(rows) == [(make(d), w) for part in whole for d, a, b in part for w in range(a, b)]
+        ends, inner = set(np.cumsum([x.sum() for x in lengths]).tolist()), set(np.cumsum(lens).tolist())
+        cost = lambda windows: sum(16 - n + (0 if a + n in ends else 3 if a + n in inner else 8) for a, n in windows)
+        sizes = [sum(b - a for _, a, b in part) for part in whole]
+        best = cost(list(zip(np.cumsum([0, *sizes]).tolist(), sizes)))
+        # stretches of nine windows don't all settle: each may cost a window and a penalty more
+        assert cost(firsts) == best if stretch > 150 else best <= cost(firsts) <= best + 24 * (sum(sizes) // 150)
+
+
 def test_packing_odd_rows(spark):
-    docs = docs_of(spark, [None, " \n", "a b. c", "a b. c", "w " * 5000, "null id", None], [0, 1, 2, 2, 4, None, None]).withColumn("chunk", common.F.lit("x")).withColumn("padding", common.F.lit("x"))
-    rows = packing.packed(docs, window=100).collect()
-    words = {}
-    for r in rows:
-        assert r.n_words + r.padding == 100
-        for d, a, b in zip(r.doc_ids, r.first_words, r.end_words):
-            words[d] = words.get(d, 0) + b - a
-    assert words == {2: 6, 4: 5000, None: 2}
+    docs = docs_of(spark, [None, " \n", "a b. c", "a b. c", "w " * 5000, "null id", None], [0, 1, 2, 2, 4, None, None]).withColumn("stretch", common.F.lit("x")).withColumn("padding", common.F.lit("x")).withColumn("a.b", common.F.lit("x"))
+    for stretch in (3, 1000, packing.STRETCH):
+        rows = packing.packed(docs, window=100, stretch=stretch).collect()
+        words = {}
+        for r in rows:
+            assert r.n_words + r.padding == 100
+            for d, a, b in zip(r.doc_ids, r.first_words, r.end_words):
+                words[d] = words.get(d, 0) + b - a
+        assert words == {2: 6, 4: 5000, None: 2}
     assert packing.packed(docs.limit(0)).count() == 0

@@ -258,14 +258,12 @@ def test_pipeline_equals_brute_force(spark):
     want = want[~want.doc_id.isin(dirty)].sort_values("doc_id")
     texts = [secrets.redact(t, secrets.scan(t)) for t in want.text]
     at, lens = packing.sentence_lengths(pa.array(texts))
-    rows = []
-    chunk = (want.doc_id // packing.CHUNK).to_numpy()
-    for c in sorted(set(chunk.tolist())):
-        some = np.flatnonzero(chunk == c)
-        for k, pieces in enumerate(packing.pack([lens[at[i] : at[i + 1]] for i in some])):
-            rows.append((c, k, [int(want.doc_id.iloc[some[d]]) for d, _, _ in pieces], [a for _, a, _ in pieces], [b for _, _, b in pieces]))
+    rows, place = [], 0
+    for pieces in packing.pack([lens[at[i] : at[i + 1]] for i in range(len(texts))]):
+        rows.append((place, [int(want.doc_id.iloc[d]) for d, _, _ in pieces], [a for _, a, _ in pieces], [b for _, _, b in pieces]))
+        place += sum(b - a for _, a, b in pieces)
     got = pipeline.run(spark, SF)
-    assert sorted((r.chunk, r.window, r.doc_ids, r.first_words, r.end_words) for r in got.collect()) == rows
+    assert sorted((r.first_word, r.doc_ids, r.first_words, r.end_words) for r in got.collect()) == rows
     assert [len(s) for s in pipeline.STAGES] == [2] * 5 and pipeline.ORACLE_SQL is None
 
 
