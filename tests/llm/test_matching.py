@@ -21,7 +21,8 @@ def docs_of(spark, texts, ids=None):
 
 
 def brute_contaminated(docs, items, size, containment):
-    out = set()
+    """(document, item) -> (first word, containment) of the best window."""
+    out = {}
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     for d, t in docs:
         w = words(t)
@@ -31,11 +32,11 @@ def brute_contaminated(docs, items, size, containment):
             if not shingles:
                 continue
             need = int(np.ceil(containment * len(shingles) - 1e-9))
-            for a in range(max(1, len(w) - len(v) + 1)):
+            for a in range(max(1, len(w) - size + 1)):
                 win = w[a : a + len(v)]
-                if len(shingles & {tuple(win[k : k + size]) for k in range(len(win) - size + 1)}) >= need:
-                    out.add((d, i))
-                    break
+                n = len(shingles & {tuple(win[k : k + size]) for k in range(len(win) - size + 1)})
+                if n >= need and n / len(shingles) > out.get((d, i), (0, 0))[1]:
+                    out[d, i] = a, n / len(shingles)
     return out
 
 
@@ -61,9 +62,32 @@ def test_decontamination_equals_brute_force(spark):
         want = brute_contaminated(docs, items, 3, containment)
         for slice_words in (2_000_000, 20):  # one pass, several passes
             got = decontam.contaminated(docs_of(spark, texts), bench, containment=containment, slice_words=slice_words)
-            assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+            assert {(r.doc_id, r.item_id): (r.first_word, r.containment) for r in got.collect()} == want
     kept = decontam.drop_contaminated(docs_of(spark, texts), bench, containment=0.7)
-    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in brute_contaminated(docs, items, 3, 0.7)}
+    want = {d for d, _ in docs} - {d for d, _ in brute_contaminated(docs, items, 3, 0.7)}
+    assert {r.doc_id for r in kept.collect()} == want
+    sliced = decontam.drop_contaminated(docs_of(spark, texts), bench, containment=0.7, slice_words=20)
+    assert {r.doc_id for r in sliced.collect()} == want
+
+
+def test_contamination_in_any_order(spark):
+    """Blocks of an item in another order, and rotations, with the rare shingles in any part."""
+    rng = random.Random(9)
+    item = [f"w{k}" for k in range(100)]
+    common_words = [" ".join(item[a : a + 6]) for a in range(50, 94, 2)] * 3  # makes the second half's shingles frequent
+    texts = []
+    for cut in range(5, 100, 5):
+        texts.append(" ".join(["x", *item[cut:], *item[:cut], "y"]))
+    for _ in range(20):
+        blocks = [item[k : k + 20] for k in range(0, 100, 20)]
+        rng.shuffle(blocks)
+        texts.append(" ".join(["y"] * rng.randint(0, 30) + [w for b in blocks for w in b] + ["z"] * rng.randint(0, 30)))
+    texts += common_words
+    docs = list(enumerate(texts))
+    want = brute_contaminated(docs, [(1, " ".join(item))], 3, 0.7)
+    assert len(want) >= 39
+    got = decontam.contaminated(docs_of(spark, texts), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.first_word, r.containment) for r in got.collect()} == want
 
 
 def test_decontamination_odd_rows(spark):
