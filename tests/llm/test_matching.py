@@ -1,8 +1,13 @@
 """Decontamination, licenses, secrets and packing against brute force; odd inputs."""
 
+import base64
+import gzip
 import itertools
 import random
 import re
+import time
+import zlib
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -180,7 +185,8 @@ def test_an_encoded_secret_is_found_in_each_of_its_places(spark):
     text = f"a {line} b\nc {line} d {other} e {nested} f"
     found = secrets.scan(text)
     spans = [(text.index(line), "base64"), (text.index(line, text.index(line) + 1), "base64"), (text.index(other), "base64>gzip")]
-    assert {(f[2], f[1]) for f in found} == {*spans, (text.index(nested), "url>base64")}
+    # of what is encoded as a whole, each secret has its own characters as its place
+    assert {(f[2], f[1]) for f in found} == {*spans, (text.index(nested), "url>base64"), (text.index(nested) + 3 * len(line) + 3, "url>base64")}
     assert {f[4] for f in found} == {KEY}
     out = secrets.redacted(docs_of(spark, [text])).first().text
     assert not secrets.scan(out) and line not in out and other not in out
@@ -198,6 +204,80 @@ def test_whatever_scan_finds_is_triggered(spark):
     assert [r.text for r in secrets.redacted(docs).orderBy("doc_id").collect()] == ['password = "[REDACTED:quoted_credential]"', "passwd: [REDACTED:bare_credential]", "the password is: none"]
 
 
+def naive_secrets(text, depth=0):
+    """(kind, secret) by plain recursion over all lines and encodings."""
+    out = {(k, text[a:b]) for k, a, b in secrets.finds(text)}
+    if depth < 6:
+        for line in text.split("\n"):
+            url = re.sub(r"(?:%[0-9A-Fa-f]{2})+", lambda m: unquote(m[0]), line)
+            uni = re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), line)
+            b64 = line
+            for m in dict.fromkeys(re.findall(r"[A-Za-z0-9+/_-]{20,}={0,2}", line)):
+                try:
+                    data = base64.b64decode(m, validate=True)
+                    while data[:2] in (b"\x1f\x8b", b"x\x9c"):
+                        data = gzip.decompress(data) if data[:1] == b"\x1f" else zlib.decompress(data)
+                    b64 = b64.replace(m, data.decode()) if data.decode().replace("\n", " ").isprintable() else b64
+                except ValueError:
+                    pass
+            for new in (url, uni, b64):
+                if new != line:
+                    out |= naive_secrets(new, depth + 1)
+    return out
+
+
+def test_scan_equals_plain_recursion():
+    rng = random.Random(3)
+    plain = [KEY, 'password = "hunter2abc!"', "ghp_" + "a1B2" * 10, "token: abc123.def456.gh7", "nothing here", "xoxb-1234567890-abc", "eyJabcdefgh1.eyJabcdefgh2.sig-nature"]
+    kinds = ["url", "unicode", "base64", "gzip64", "zlib64"]
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            p = rng.choice(plain)
+            words.append(secrets.encode_layers(p, rng.choices(kinds, k=rng.randint(0, 3))) if rng.random() < 0.7 else rng.choice(["some words", "a\nb", "key:", "%41", "internationalisationally"]))
+        text = " ".join(words)
+        if rng.random() < 0.3:
+            text = secrets.encode_layers(text, rng.choices(kinds[:3], k=1))
+        found = secrets.scan(text)
+        assert {(f[0], f[4]) for f in found} == naive_secrets(text), text
+        assert not {f[4] for f in secrets.scan(secrets.redact(text, found))} & {f[4] for f in found}
+
+
+def test_context_members_and_control_characters():
+    value = "".join(f"%{ord(c):02x}" for c in "hunter2abcdefgh12")
+    assert [f[::4] for f in secrets.scan(f"password = {value}")] == [("bare_credential", "hunter2abcdefgh12")]
+    bare = base64.b64encode(b"aB3dE6gH9jK2mN5pQ8").decode()
+    assert ("bare_credential", "aB3dE6gH9jK2mN5pQ8") in [f[::4] for f in secrets.scan(f"api_key: {bare}")]
+    two = base64.b64encode(gzip.compress(b"first member, plain. ") + gzip.compress(f"second {KEY}".encode())).decode()
+    assert [f[4] for f in secrets.scan(two)] == [KEY]
+    odd = base64.b64encode(f"\x01 some text with a control character and {KEY} in it".encode()).decode()
+    assert [f[4] for f in secrets.scan(odd)] == [KEY]
+
+
+def test_no_content_is_too_large_to_open(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 1000)
+    monkeypatch.setattr(secrets, "SEAM", 100)
+    for before in (0, 950, 1040, 5000, 99_990):
+        run = base64.b64encode(gzip.compress(("ab " * 40_000)[:before].encode() + f" {KEY} ".encode() + b"cd " * 3000)).decode()
+        assert {f[4] for f in secrets.scan(f"x {run} y")} == {KEY}, before
+
+
+@pytest.mark.parametrize("unit", ["a", "%41", "\\u0041", "漢", "eyJ-", "token=", "-----BEGIN PRIVATE KEY-----", "eyJabcdefgh1.", "token='", "%25", "a1B2+/", "password "])
+def test_unbroken_text_takes_linear_time(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    secrets.scan(text + " ")
+    assert time.perf_counter() - began < 8
+    began = time.perf_counter()
+    assert KEY in {f[4] for f in secrets.scan(text[:200_000] + " " + KEY)}
+    assert time.perf_counter() - began < 4
+
+
+def test_percent_signs_encoded_over_and_over():
+    text = "%" + "25" * 200_000 + "41KIAABCDEFGHIJKLMNOP"
+    assert [f[2:] for f in secrets.scan(text)] == [(0, len(text), KEY)]
+
+
 def test_cycles_end_and_harmless_texts_stay():
     assert secrets.scan("%25" * 50 + " %2525252541 \\u005cu0041 " + "QUFB" * 30) == []
     assert secrets.scan("The token of the day is a secret: none. internationalisationally") == []
