@@ -1,5 +1,8 @@
 """Quality classifier, toxicity and LM scoring: identities, held-out results, odd inputs."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -69,33 +72,70 @@ def test_toxicity_on_held_out_rows(labelled):
     assert (p[y == 0] >= 0.5).mean() < 0.03
 
 
-def test_counterfactuals_protect_neutral_mentions():
+def _skewed(term, other):
+    """(texts, labels) in which a term is mentioned mostly in toxic texts, and another of its group in others."""
     rng = np.random.default_rng(0)
     words = ["tree", "river", "house", "walked", "under", "stone", "green", "light"]
     say = lambda extra: " ".join(rng.permutation([*rng.choice(words, 6), *extra])) + "."
-    # in the labelled rows, muslims are mostly mentioned in toxic texts
-    texts = [say(["muslim", "vile"]) for _ in range(150)] + [say(["vile"]) for _ in range(100)] + [say([]) for _ in range(300)] + [say(["muslim"]) for _ in range(15)] + [say(["christian"]) for _ in range(60)]
-    y = np.array([1.0] * 250 + [0.0] * 375)
-    found = {}
-    for pairing in (0.0, 2.0):
-        m = toxicity.Model().fit(*toxicity.sentences(pa.array(texts)), y, pairing=pairing)
-        found[pairing] = m.probabilities(pa.array(["The muslim walked under the tree.", "The christian walked under the tree.", "The vile house."]))
-    gap = {k: abs(np.log(p[0] / (1 - p[0])) - np.log(p[1] / (1 - p[1]))) for k, p in found.items()}
-    assert gap[2.0] < 0.5 * gap[0.0] + 0.05
-    assert found[2.0][0] < 0.5 < found[2.0][2]
-
-
-def test_counterfactuals_protect_long_terms():
-    rng = np.random.default_rng(0)
-    words = ["tree", "river", "house", "walked", "under", "stone", "green", "light"]
-    say = lambda extra: " ".join(rng.permutation([*rng.choice(words, 6), *extra])) + "."
-    texts = [say(["immigrants", "vile"]) for _ in range(150)] + [say(["vile"]) for _ in range(100)] + [say([]) for _ in range(300)] + [say(["immigrants"]) for _ in range(15)] + [say(["refugees"]) for _ in range(60)]
-    m = toxicity.Model().fit(*toxicity.sentences(pa.array(texts)), np.array([1.0] * 250 + [0.0] * 375))
-    p = m.probabilities(pa.array(["The immigrants walked under the tree.", "The refugees walked under the tree.", "The vile house."]))
-    logit = np.log(p / (1 - p))
-    assert p[0] < 0.5 < p[2] and abs(logit[0] - logit[1]) < 1
-    every = [w for g in toxicity.IDENTITY_TERMS for w in g]
-    assert len(toxicity.sentences(pa.array([" ".join(every)]))[0]) == len(every)
+    texts = [say([term, "vile"]) for _ in range(150)] + [say(["vile"]) for _ in range(100)] + [say([]) for _ in range(300)] + [say([term]) for _ in range(15)] + [say([other]) for _ in range(60)]
+    return texts, np.array([1.0] * 250 + [0.0] * 375)
+
+
+def _fitted(texts, y, pairing=toxicity.PAIRING):
+    changes = sum(toxicity.swaps(pa.array(texts)), Counter())
+    return toxicity.Model().fit(*toxicity.sentences(pa.array(texts)), y, changes, pairing=pairing)
+
+
+@pytest.mark.parametrize("group", toxicity.IDENTITY_TERMS, ids=lambda g: g[0])
+def test_counterfactuals_protect_neutral_mentions_of_every_term(group):
+    for term in group:
+        other = next(t for t in group if t != term)
+        gap, found = {}, {}
+        for pairing in (0.0, toxicity.PAIRING):
+            m = _fitted(*_skewed(term, other), pairing=pairing)
+            p = found[pairing] = m.probabilities(pa.array([f"The {term} walked under the tree.", f"The {other} walked under the tree.", "The vile house."]))
+            gap[pairing] = abs(np.log(p[0] / (1 - p[0])) - np.log(p[1] / (1 - p[1])))
+        assert gap[toxicity.PAIRING] < 0.5 * gap[0.0] + 0.05, (term, gap)
+        assert found[toxicity.PAIRING][0] < 0.5 < found[toxicity.PAIRING][2], term
+
+
+def test_swaps_are_those_of_sentences_made_anew():
+    text = "The immigrants and refugees came. A man, a woman. No one."
+    swapped = Counter()
+    words = {w: g for g in toxicity.IDENTITY_TERMS for w in g}
+    for sentence in ("The immigrants and refugees came", "A man, a woman"):
+        was = set(toxicity.sentences(pa.array([sentence]))[0].tolist())
+        for term in ("immigrants", "refugees", "man", "woman"):
+            if re.search(rf"\b{term}\b", sentence):
+                for other in (*words[term], *toxicity.NEUTRAL):
+                    if other != term:
+                        new = set(toxicity.sentences(pa.array([re.sub(rf"\b{term}\b", other, sentence)]))[0].tolist())
+                        swapped[tuple(sorted(was - new)), tuple(sorted(new - was))] += 1
+    assert toxicity.swaps(pa.array([text, "", None])) == [swapped, Counter(), Counter()]
+    assert any(len(lost) > 1 for lost, _ in swapped)  # stems go with their terms
+
+
+def test_toxicity_equals_a_plain_scorer():
+    rng = np.random.default_rng(4)
+    m = toxicity.Model()
+    m.w[:] = rng.normal(size=toxicity.SIZE)
+    texts = pq.read_table(f"{SF}/documents.parquet").slice(0, 60)["text"].to_pylist() + ["", None, "One. two! three", "muslim IMMIGRANTS. x"]
+    got = m.probabilities(pa.array(texts))
+    for k, t in enumerate(texts):
+        best = None
+        for sentence in re.split(r"[.!?\n]", t or ""):
+            f = set(toxicity.sentences(pa.array([sentence]))[0].tolist())
+            if f:
+                best = max(best if best is not None else -1e9, sum(float(m.w[x]) for x in f))
+        assert got[k] == pytest.approx(0 if best is None else 1 / (1 + np.exp(-(np.clip(best + m.bias, -30, 30)))), rel=1e-3, abs=1e-9)
+
+
+def test_rare_words_are_not_shut_out():
+    rng = np.random.default_rng(1)
+    say = lambda extra: " ".join(rng.permutation([*rng.choice(["tree", "river", "house", "stone"], 6), *extra]))
+    texts = [say(["vile"]) for _ in range(20)] + [say([]) for _ in range(20)]
+    p = _fitted(texts, np.array([1.0] * 20 + [0.0] * 20)).probabilities(pa.array(["the vile house", "the house"]))
+    assert p[0] > 0.5 > p[1]
 
 
 def test_toxicity_worst_sentence_decides():
