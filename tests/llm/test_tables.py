@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -134,11 +135,11 @@ def test_shards_are_ordered_ranges_of_bounded_size(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int")
     out = sharding.sharded(docs, target=6000)
     got = out.withColumn("part", F.spark_partition_id()).collect()
-    assert len(got) == 3000 and out.columns == ["doc_id", "text", "source", "shard"]
+    assert len(got) == 3000 and out.columns == ["doc_id", "text", "source", "shard", "shard_"] and {r.shard for r in got} == {7}
     by = {}
     for r in got:
-        by.setdefault(r.shard, []).append(r)
-    assert len({(r.shard, r.part) for r in got}) == len(by) == len({r.part for r in got})
+        by.setdefault(r.shard_, []).append(r)
+    assert len({(r.shard_, r.part) for r in got}) == len(by) == len({r.part for r in got})
     order = sorted(by)
     key = lambda r: (r.source, r.doc_id)
     for a, b in zip(order, order[1:]):
@@ -149,20 +150,58 @@ def test_shards_are_ordered_ranges_of_bounded_size(spark):
     assert len(by) < 2.5 * sum(sizes.values()) / 6000
 
 
+def test_range_numbers_equal_plain_comparison():
+    rng = random.Random(6)
+    keys, ids = [None, "", "a", "b", "ab", "é", "zz"], [None, -5, 0, 3, 2**62, -(2**63)]
+    bounds = sorted({sharding._key(rng.choice(keys), rng.choice(ids)) for _ in range(14)})
+    rows = [(k, i) for k in [*keys, "c"] for i in [*ids, 1, -(2**62)]]
+    rng.shuffle(rows)
+    got = sharding.Bounds(bounds).number(pd.Series([k for k, _ in rows], dtype=object), pd.Series([i for _, i in rows], dtype="Int64"))
+    assert got.tolist() == [sum(b <= sharding._key(k, i) for b in bounds) for k, i in rows]
+
+
+def test_quantiles_equal_a_plain_count():
+    rng = random.Random(8)
+    for _ in range(200):
+        n = np.array([rng.choice([1, 1, 2, 3, 30]) for _ in range(rng.randint(1, 40))])
+        parts, total = rng.randint(1, 12), int(n.sum())
+        points = [int(np.floor(total * q / parts)) if (total * q) % parts == 0 else total * q / parts for q in range(parts)]
+        cum = np.cumsum(n)
+        holds = [sum(c - k <= x < c for x in points) for c, k in zip(cum, n)]
+        want = [h > 0 or (r > 0 and holds[r - 1] > 1) for r, h in enumerate(holds)]
+        assert sharding._quantiles(n, 0, total, parts)[0].tolist() == want
+        cut = rng.randint(0, len(n))  # the same from two pieces
+        first, wide = sharding._quantiles(n[:cut], 0, total, parts)
+        second, _ = sharding._quantiles(n[cut:], int(n[:cut].sum()), total, parts, wide)
+        assert [*first.tolist(), *second.tolist()] == want
+
+
 def test_sharding_odd_rows(spark):
     rows = [(1, "a" * 100_000, "s"), (1, "a", "s"), (1, "a", "s"), (None, "b", None), (2, None, "s"), (3, "", None), (None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_x", F.lit(1)).withColumn("_key", F.lit("clash"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_x", F.lit(1)).withColumn("_key", F.lit("mine")).withColumn("_id", F.lit("mine")).withColumn("_size", F.lit("mine")).withColumn("a.b", F.lit("mine"))
     out = sharding.sharded(docs, target=50)
-    assert out.count() == 7 and "_x" in out.columns
-    assert len({r.shard for r in out.collect() if r.doc_id == 1}) == 1
+    assert out.columns == [*docs.columns, "shard"]
+    got = out.collect()
+    assert len(got) == 7 and {(r["_key"], r["_id"], r["_size"], r["a.b"]) for r in got} == {("mine",) * 4}
+    assert len({r.shard for r in got if r.doc_id == 1}) == 1
     assert sharding.sharded(docs.limit(0)).count() == 0
+    assert len({r.shard for r in sharding.sharded(docs.select("text")).collect()}) == 1
+
+
+@pytest.mark.parametrize("rows", [[(None, k, 100) for k in range(200)], [(f"s{k}", None, 100) for k in range(200)], [("s", k, 1) for k in range(4000)]])
+def test_overfull_ranges_are_subdivided_whatever_the_first_sample(spark, monkeypatch, rows):
+    monkeypatch.setattr(sharding, "_first_bounds", lambda sizes, step, parts: [])
+    sizes = spark.createDataFrame(rows, "_key string, _id long, _size long")
+    total = sum(r[2] for r in rows)
+    target = total // 10
+    bounds = sharding.boundaries(sizes, target=target)
+    number = sharding.Bounds(bounds).number(pd.Series([r[0] for r in rows], dtype=object), pd.Series([r[1] for r in rows], dtype="Int64"))
+    assert np.bincount(number, [r[2] for r in rows]).max() <= 1.5 * target
 
 
-def test_overfull_ranges_of_null_keys_are_subdivided(spark, monkeypatch):
-    sample = sharding._sample
-    monkeypatch.setattr(sharding, "_sample", lambda sizes, step, salt: [] if salt == 0 else sample(sizes, step, salt))
-    for rows in ([(None, k, 100) for k in range(200)], [(f"s{k}", None, 100) for k in range(200)]):
-        assert len(sharding.boundaries(spark.createDataFrame(rows, "_key string, _id long, _size long"), target=2000)) >= 7
+def test_shards_grow_beyond_their_greatest_number(spark):
+    sizes = spark.createDataFrame([(f"s{k % 3}", k, 10) for k in range(1000)], "_key string, _id long, _size long")
+    assert 3 <= len(sharding.boundaries(sizes, target=10, max_shards=5)) <= 9
 
 
 # top-k
