@@ -18,15 +18,31 @@ from pyspark.sql import DataFrame
 
 from .common import column, tune
 
+_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE <<var;name="who";max=5>> BE LIABLE FOR ANY CLAIM, DAMAGES
+OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
 (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
 distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
 following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be
-included in all copies or substantial portions of the Software."""
+included in all copies or substantial portions of the Software. """ + _WARRANTY
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<var;name="who";min=1;max=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name="liable";min=1;max=12>>
+BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
 are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the
 following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of
 conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAME = """Neither the name of <<var;name="holder";min=1;max=12>> nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission"""
+_GNU = """This <<var;name="what";max=3>> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU
+{} as published by the Free Software Foundation <<var;name="which";max=2>> version <<var;name="version";match="[0-9]+";min=1;max=2>> of the License<<beginOptional>>,
+or (at your option) any later version<<endOptional>>."""
+_GNU_WARRANTY = """ This <<var;name="that";max=3>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details."""
 
 #: name -> template
 TEMPLATES = {
@@ -38,11 +54,30 @@ TEMPLATES = {
     "Apache-notice": 'Licensed under the Apache License, Version <<var;name="version";match="[0-9]+";min=1;max=2>>',
     "Apache-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<var;name="address";max=9>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "MPL-notice": 'This Source Code Form is subject to the terms of the Mozilla Public License, v. <<var;name="version";match="[0-9]+";min=1;max=2>>',
+    "MPL-header": 'This Source Code Form is subject to the terms of the Mozilla Public License, v. <<var;name="version";match="[0-9]+";min=1;max=2>>. If a copy of the MPL was not distributed with this file, You can obtain one at <<var;name="address";min=1;max=7>>',
+    "GPL-header": _GNU.format("General Public License") + _GNU_WARRANTY.format("General Public License"),
+    "LGPL-header": _GNU.format("Lesser General Public License") + _GNU_WARRANTY.format("Lesser General Public License"),
+    "AGPL-header": _GNU.format("Affero General Public License") + _GNU_WARRANTY.format("Affero General Public License"),
+    "CC-header": 'This work is licensed under <<beginOptional>>a<<endOptional>><<beginOptional>>the<<endOptional>> Creative Commons <<var;name="terms";match="attribution|noncommercial|non|commercial|sharealike|share|alike|noderivatives|noderivs|no|derivatives";min=1;max=6>> <<var;name="version";match="[0-9]+";min=1;max=2>> <<var;name="port";max=2>> License',
     "MIT": _MIT,
-    "BSD": _BSD,
-    "BSD-3-addition": "Neither the name of <<var;name=\"holder\";min=1;max=12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "ISC": "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "BSD-2-clause": _BSD + " " + _BSD_DISCLAIMER,
+    "BSD-3-clause": _BSD + " <<beginOptional>>3.<<endOptional>> " + _BSD_NAME + ". " + _BSD_DISCLAIMER,
+    "BSD-3-addition": _BSD_NAME,
+    "ISC": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="who";min=1;max=6>> DISCLAIMS ALL
+WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name="liable";min=1;max=6>> BE LIABLE FOR ANY
+SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
+TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of
+this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to
+the following restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use
+this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source versions must be
+plainly marked as such, and must not be misrepresented as being the original software. <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the
+author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and
+to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under
+copyright law. """ + _WARRANTY,
     "SPDX-tag": 'SPDX License Identifier <<var;name="identifier";min=1;max=4>>',
 }
 
@@ -121,6 +156,9 @@ class Automaton:
                 best = i
         return best
 
+    def begins(self, word: str) -> bool:
+        return bool(self.step(self.start, word))
+
     def literals(self) -> set[str]:
         """Words that every accepted passage holds: those in no optional or replaceable region."""
         optional = set()
@@ -129,44 +167,55 @@ class Automaton:
         return {w for s, w in enumerate(self.words) if isinstance(w, str) and s not in optional}
 
 
-def scan(text: str, automata: dict[str, Automaton]) -> list[tuple[str, int, int, int]]:
-    """(template, start, end, words) of all accepted passages, characters of text; for each template those that don't overlap, leftmost and longest."""
-    toks = tokens(text)
-    words = [t[0] for t in toks]
-    out = []
-    for name, a in automata.items():
-        i = 0
-        while i < len(words):
-            end = a.longest(words, i) if a.step(a.start, words[i]) else -1
-            if end > i:
-                out.append((name, toks[i][1], toks[end - 1][2], end - i))
-                i = end
-            else:
-                i += 1
-    return sorted(out, key=lambda f: (f[1], f[2], f[0]))
+class Scanner:
+    """Automata, and for each word that was seen those that can begin with it."""
+
+    def __init__(self, templates: dict[str, str]) -> None:
+        self.automata = {k: Automaton(t) for k, t in templates.items()}
+        self.starts: dict[str, list[tuple[str, Automaton]]] = {}
+
+    def beginning(self, word: str) -> list[tuple[str, Automaton]]:
+        if word not in self.starts:
+            if len(self.starts) > 200_000:
+                self.starts.clear()
+            self.starts[word] = [(k, a) for k, a in self.automata.items() if a.begins(word)]
+        return self.starts[word]
 
+    def scan(self, text: str) -> list[tuple[str, int, int, int]]:
+        """(template, start, end, words) of all accepted passages, characters of text; for each template those that don't overlap, leftmost and longest."""
+        toks = tokens(text)
+        words = [t[0] for t in toks]
+        out, ends = [], dict.fromkeys(self.automata, 0)
+        for i, w in enumerate(words):
+            for name, a in self.beginning(w):
+                if i >= ends[name] and (end := a.longest(words, i)) > i:
+                    out.append((name, toks[i][1], toks[end - 1][2], end - i))
+                    ends[name] = end
+        return sorted(out, key=lambda f: (f[1], f[2], f[0]))
 
-def trigger(automata: dict[str, Automaton]) -> str:
-    """A pattern that every accepted passage matches: the longest mandatory word of each template."""
-    return "(?i)" + "|".join(sorted({re.escape(max(sorted(a.literals()), key=len)) for a in automata.values()}))
+    def trigger(self) -> str | None:
+        """A pattern that every text with an accepted passage matches: the longest mandatory word of each template; None where a template has none."""
+        words = [max(sorted(a.literals()), key=len, default=None) for a in self.automata.values()]
+        return None if None in words else "(?i)" + "|".join(sorted({re.escape(w) for w in words}))
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license, start, end, n_words) of every passage that a template accepts.
 
-    Null, empty and wordless texts have none. Rows with a null doc_id are reported with a null doc_id, repeated rows each.
-    An empty table gives an empty result.
+    Null, empty and wordless texts have none. Rows with a null doc_id are reported with a null doc_id, repeated rows each. A text of
+    any length is read whole, in time in proportion: no passage is longer than its template. A template needs mandatory wording or
+    mandatory replaceable words; one without a fixed word makes every text be read. An empty table gives an empty result, as do
+    no templates. Other columns don't matter.
     """
     tune(docs.sparkSession)
     templates = TEMPLATES if templates is None else templates
-    compiled: dict[str, Automaton] = {k: Automaton(t) for k, t in templates.items()}
-    pattern = trigger(compiled)
+    pattern = Scanner(templates).trigger()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = {k: Automaton(t) for k, t in templates.items()}
+        scanner = Scanner(templates)
         for b in batches:
-            some = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(b["text"], pattern), False)).to_pylist()
-            rows = [(k, *f) for k in some for f in scan(b["text"][k].as_py(), automata)]
+            some = range(b.num_rows) if pattern is None else pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(b["text"], pattern), False)).to_pylist()
+            rows = [(k, *f) for k in some for f in scanner.scan(b["text"][k].as_py())]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.record_batch({"doc_id": b["doc_id"].take(pa.array(cols[0], pa.int64())), "license": pa.array(cols[1], pa.string()), **{n: pa.array(c, pa.int32()) for n, c in zip(("start", "end", "n_words"), cols[2:])}})
 

@@ -122,17 +122,102 @@ def test_automaton_equals_backtracking():
             assert a.longest(list(w), 0) == want
 
 
+def _plain(template):
+    """A text that the template accepts: optional regions left in, replaceable ones filled."""
+    text = re.sub(r"<<(begin|end)Optional>>", " ", template)
+    fill = lambda m: "3" if "[0-9]" in m[1] else "by" if "by|" in m[1] else "released" if "released" in m[1] else "new" if "new|" in m[1] else "attribution" if "attribution" in m[1] else "word"
+    return re.sub(r"<<var;([^>]*)>>", fill, text)
+
+
 def test_templates_find_their_own_wording():
-    automata = {k: licenses.Automaton(t) for k, t in licenses.TEMPLATES.items()}
-    trigger = re.compile(licenses.trigger(automata))
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    trigger = re.compile(scanner.trigger())
     for name, template in licenses.TEMPLATES.items():
-        plain = re.sub(r"<<(begin|end)Optional>>", " ", template)
-        plain = re.sub(r"<<var;([^>]*)>>", lambda m: {"a": "3", "b": "by"}.get("x") or ("3" if "[0-9]" in m[1] else "by" if "by|" in m[1] else "released" if "released" in m[1] else "new" if "new|" in m[1] else "word"), plain)
+        plain = _plain(template)
         text = f"Some text before. {plain} And after."
-        found = [f for f in licenses.scan(text, automata) if f[0] == name]
-        assert found and trigger.search(text), name
-    assert licenses.scan("Released under the MIT Licence.", automata) == []  # mandatory wording differs
-    assert licenses.scan("licensed under the GNU General Public, version 3", automata) == []
+        assert [f for f in scanner.scan(text) if f[0] == name] and trigger.search(text), name
+        # without its last mandatory words, warranties included, it isn't accepted
+        words = plain.split()
+        if len(words) > 40:
+            assert not [f for f in scanner.scan(" ".join(words[:-3])) if f[0] == name], name
+            for gone in range(5, len(words) - 5, 17):
+                changed = [*words[:gone], "qqq", *words[gone + 1 :]]
+                if words[gone] not in ("word", "3") and re.search(r"\w", words[gone]):
+                    assert not [f for f in scanner.scan(" ".join(changed)) if f[0] == name] or "Optional>>" in template, (name, words[gone])
+    assert scanner.scan("Released under the MIT Licence.") == []  # mandatory wording differs
+    assert scanner.scan("licensed under the GNU General Public, version 3") == []
+
+
+def brute_scan(text, templates):
+    """Leftmost longest passages of each template by backtracking over its items."""
+    found = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+    words = [w for w, _, _ in found]
+
+    def parse(t):
+        items, stack, at = [], [], 0
+        for m in re.finditer(r"<<(.*?)>>", t + "<<end>>", re.S):
+            items += [w.lower() for w in re.findall(r"\w+", t[at : m.start()])]
+            at = m.end()
+            if m[1] == "beginOptional":
+                stack.append(items)
+                items = []
+            elif m[1] == "endOptional":
+                stack[-1].append(("optional", items))
+                items = stack.pop()
+            elif m[1].startswith("var"):
+                f = dict(x.split("=", 1) for x in m[1].split(";")[1:])
+                items.append(("var", re.compile(f.get("match", '"\\w+"').strip('"')), int(f.get("min", 0)), int(f.get("max", 12))))
+        return items
+
+    def ends(items, i):
+        if not items:
+            return {i}
+        head, rest = items[0], items[1:]
+        if isinstance(head, str):
+            return ends(rest, i + 1) if i < len(words) and words[i] == head else set()
+        if head[0] == "optional":
+            return ends(rest, i) | {e for j in ends(head[1], i) for e in ends(rest, j)}
+        out, n = set(), 0
+        while True:
+            if n >= head[2]:
+                out |= ends(rest, i + n)
+            if n == head[3] or i + n >= len(words) or not head[1].fullmatch(words[i + n]):
+                return out
+            n += 1
+
+    out = []
+    for name, t in templates.items():
+        items, i = parse(t), 0
+        while i < len(words):
+            end = max(ends(items, i), default=-1)
+            if end > i:
+                out.append((name, found[i][1], found[end - 1][2], end - i))
+                i = end
+            else:
+                i += 1
+    return sorted(out, key=lambda f: (f[1], f[2], f[0]))
+
+
+def test_scan_equals_backtracking():
+    rng = random.Random(12)
+    small = {k: t for k, t in licenses.TEMPLATES.items() if len(t) < 400} | {"any": '<<var;name="n";match="[0-9]+";min=2;max=3>>', "nested": "a <<beginOptional>>b <<beginOptional>>c<<endOptional>><<endOptional>> d"}
+    scanner = licenses.Scanner(small)
+    pool = [w for t in small.values() for w in _plain(t).split()]
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 6)):
+            words += rng.choice([_plain(rng.choice(list(small.values()))).split(), rng.choices(pool, k=5), rng.choices("abcd", k=4)])
+            if words and rng.random() < 0.5:
+                words[rng.randrange(len(words))] = rng.choice(pool)
+        text = rng.choice([" ", ", ", "\n"]).join(words)
+        assert scanner.scan(text) == brute_scan(text, small), text
+
+
+def test_templates_without_a_fixed_word(spark):
+    docs = docs_of(spark, ["v 1 2 3", "none", None, ""])
+    got = licenses.licenses(docs, {"numbers": '<<var;name="n";match="[0-9]+";min=2;max=9>>'}).collect()
+    assert [(r.doc_id, r.start, r.end, r.n_words) for r in got] == [(0, 2, 7, 3)]
+    assert licenses.licenses(docs, {}).count() == 0
 
 
 @pytest.mark.parametrize("bad", ["<<beginOptional>>a", "a<<endOptional>>", "<<what>>a", "<<beginOptional>>a<<endOptional>>"])
