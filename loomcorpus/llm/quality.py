@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Words, column, mix, per_text, raw, spans, tune
+from .common import Words, column, field, free, mix, numbered, per_text, raw, spans, tune
 
 WORDS, META, FACTORS = 1 << 15, 256, 8
 STATS = 14
@@ -148,7 +149,8 @@ class Machine:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Machine:
     """Fits the machine on at most sample_rows labelled rows, those with the smallest hashes of their ids.
 
-    Rows of labels with a null id or quality are left out; with none left the machine is neutral (every score 0.5).
+    Rows of labels with a null id or quality are left out, as are labelled documents without text; with none left, or of one class
+    only, the machine is neutral (every score about 0.5). Repeated rows count each.
     """
     chosen = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IS NOT NULL").orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
     # the sample is bounded by sample_rows, so it may be broadcast whatever the size of the tables
@@ -167,31 +169,43 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
     return model.fit(idx.offsets.to_numpy().astype(np.int64) - idx.offsets[0].as_py(), idx.flatten().to_numpy().astype(np.int64), val.flatten().to_numpy(), table["y"].to_numpy().clip(0, 1).astype(np.float32), seed=seed)
 
 
-def score(docs: DataFrame, model: Machine, threshold: float = 0.5) -> DataFrame:
-    """docs with its own columns, and `quality_score` (double) and `keep` (score >= threshold), which replace columns of these names.
-
-    Null, empty and wordless texts score 0 and aren't kept. Repeated rows each get the same score. Null lang or source
-    counts as a value of its own. An empty table gives an empty result.
-    """
-    own = docs.drop("quality_score", "keep", "_fm_text", "_fm_lang", "_fm_source")
-    full = own.withColumns({"_fm_text": column(docs, "text", "string"), "_fm_lang": column(docs, "lang", "string"), "_fm_source": column(docs, "source", "string")})
-    names = own.columns
+def _scored(docs: DataFrame, model: Machine, threshold: float, only_kept: bool) -> DataFrame:
+    plain = numbered(docs)
+    names = plain.columns
+    full = plain.withColumns({"_text": field(docs, "text", "string"), "_lang": field(docs, "lang", "string"), "_source": field(docs, "source", "string")})
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.w, model.v))  # 1.2 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Machine.__new__(Machine)
         m.bias, m.w, m.v = sent.value
         for b in batches:
-            p = m.scores(b["_fm_text"], b["_fm_lang"], b["_fm_source"])
-            yield pa.RecordBatch.from_arrays([b[c] for c in names] + [pa.array(p, pa.float64()), pa.array(p >= threshold)], names=[*names, "quality_score", "keep"])
+            p = m.scores(b["_text"], b["_lang"], b["_source"])
+            own = b.select(names)
+            if only_kept:
+                yield own.filter(pa.array(p >= threshold))
+            else:
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(p, pa.float64()), pa.array(p >= threshold)], names=[*names, "_score", "_keep"])
 
-    out = own.schema
-    for c, kind in (("quality_score", "double"), ("keep", "boolean")):
-        out = out.add(c, kind)
-    return full.mapInArrow(run, out)
+    schema = plain.schema
+    return full.mapInArrow(run, schema if only_kept else T.StructType([*schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_keep", T.BooleanType())]))
+
+
+def score(docs: DataFrame, model: Machine, threshold: float = 0.5) -> DataFrame:
+    """docs with `quality_score` (double) and `keep` (score >= threshold); where docs has columns of these names, which stay, an underscore is put behind.
+
+    Null, empty and wordless texts score 0 and aren't kept. Repeated rows each get the same score. A null or missing lang or source
+    counts as a value of its own. A text of any length is scored whole. An empty table gives an empty result.
+    """
+    return _scored(docs, model, threshold, False).toDF(*docs.columns, free(docs, "quality_score"), free(docs, "keep"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
     """Trains on the labelled documents and scores all of them; see train and score."""
     tune(docs.sparkSession)
     return score(docs, train(docs, labels, sample_rows), threshold)
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
+    """docs without the rows that score under the threshold; see train and score. Columns are those of docs, and none is changed."""
+    tune(docs.sparkSession)
+    return _scored(docs, train(docs, labels, sample_rows), threshold, True).toDF(*docs.columns)

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.1"
 LONG = "word and more. " * 40_000
 
 
-def odd_docs(spark, extra="keep string, score double, _fm_text string"):
+def odd_docs(spark, extra="keep string, score double, _text string"):
     rows = [(1, "A plain text of some words.", "en", "a"), (1, "A plain text of some words.", "en", "a"), (2, None, "en", "a"), (3, "", None, None), (None, "An id that is null.", "en", "b"), (4, LONG, "de", "a"), (5, " \n ", "en", "a"), (6, "éß 漢字 \U0001f600", "fr", "c")]
     schema = "doc_id long, text string, lang string, source string, " + extra
     width = len(extra.split(","))
@@ -55,13 +55,16 @@ def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, None), (4, 0, 1), (None, 1, 1), (2, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
     out = quality.classify(docs, labels)
     rows = out.collect()
-    assert len(rows) == 8 and out.columns == ["doc_id", "text", "lang", "source", "score", "quality_score", "keep"]
+    assert len(rows) == 8 and out.columns == [*docs.columns, "quality_score", "keep_"]
+    assert {(r.keep, r["_text"]) for r in rows} == {("x", "x")}
     same = [r.quality_score for r in rows if r.doc_id == 1]
     assert same[0] == same[1]
-    assert all(r.quality_score == 0 and not r.keep for r in rows if r.doc_id in (2, 3, 5))
+    assert all(r.quality_score == 0 and not r.keep_ for r in rows if r.doc_id in (2, 3, 5))
     assert quality.classify(docs.limit(0), labels).count() == 0
+    kept = quality.drop_rejected(docs, labels)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.keep_)
     neutral = quality.classify(docs, labels.limit(0)).filter("doc_id = 6").first()
-    assert neutral.keep and 0.4 < neutral.quality_score < 0.6
+    assert neutral.keep_ and 0.4 < neutral.quality_score < 0.6
 
 
 def test_toxicity_on_held_out_rows(labelled):
