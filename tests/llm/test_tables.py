@@ -1,6 +1,7 @@
 """SimHash, sharding, top-k and the pipeline against brute force; odd inputs."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -59,27 +60,63 @@ def union(pairs):
     return {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("leaf", [100_000, 16])
-def test_pairs_equal_brute_force(spark, leaf):
-    rng = np.random.default_rng(3)
-    h = rng.integers(0, 2**63, (260, 2), dtype=np.uint64) * np.uint64(2)
-    for k in range(130, 260):  # half are neighbours of the others
-        for bit in rng.integers(0, 128, rng.integers(0, 40)):
-            h[k] = h[k] if bit else h[k - 130]
+def clustered(count=260, seed=3):
+    """(fingerprints, feature counts): half are neighbours of the others, at 0 to 40 bits."""
+    rng = np.random.default_rng(seed)
+    h = rng.integers(0, 2**63, (count, 2), dtype=np.uint64) * np.uint64(2)
+    for k in range(count // 2, count):
+        h[k] = h[rng.integers(0, count // 2)]
+        for bit in rng.choice(128, rng.integers(0, 40), replace=False):
             h[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-        h[k] = h[k - 130] ^ (h[k] ^ h[k - 130] if np.bitwise_count(h[k] ^ h[k - 130]).sum() < 40 else np.uint64(0))
-    n = rng.integers(20, 60, 260)
-    nodes = spark.createDataFrame([(int(i), int(a), int(b), int(c)) for i, ((a, b), c) in enumerate(zip(h.view(np.int64), n))], "id long, h1 long, h2 long, n int")
+    return h, rng.integers(35, 60, count)
+
+
+@pytest.mark.parametrize(("shard", "leaf"), [(100_000, 100_000), (100_000, 8), (16, 100_000), (40, 6)])
+def test_pairs_equal_brute_force(spark, shard, leaf):
+    h, n = clustered()
+    w = np.random.default_rng(1).integers(1, 5, len(n))
+    nodes = spark.createDataFrame([(int(i), int(a), int(b), int(c), int(e)) for i, ((a, b), c, e) in enumerate(zip(h.view(np.int64), n, w))], "id long, h1 long, h2 long, n int, w long")
     want = brute_pairs(h, n, 24, 1.25)
-    assert want
-    got = simhash.near_pairs(nodes, leaf=leaf)
+    assert len(want) > 40
+    got = simhash.near_pairs(nodes, shard=shard, leaf=leaf)
     assert {(r.a, r.b): r.distance for r in got.collect()} == want and got.count() == len(want)
-    tree = [(r.a, r.b) for r in simhash.near_pairs(nodes, leaf=leaf, forest=True).collect()]
+    rows = simhash.near_pairs(nodes, shard=shard, leaf=leaf, forest=True).collect()
+    tree = [(r.a, r.b) for r in rows if r.b is not None]
     assert union(tree) == union(want) and set(tree) <= set(want)
-    small = simhash.near_pairs(nodes, radius=3, leaf=leaf)
+    links = np.zeros(len(n), int)
+    for r in rows:
+        links[r.a] += r.links or 0
+    plain = np.zeros(len(n), int)
+    for i, j in want:
+        plain[i] += w[j]
+        plain[j] += w[i]
+    assert links.tolist() == plain.tolist()
+    small = simhash.near_pairs(nodes, radius=3, shard=shard, leaf=leaf)
     assert {(r.a, r.b) for r in small.collect()} == set(brute_pairs(h, n, 3, 1.25))
 
 
+def test_triangle_bounds_prune_at_small_radii():
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 2**63, (12, 2), dtype=np.uint64) * np.uint64(2)
+    h = centres[rng.integers(0, 12, 3000)]
+    h[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
+    n = np.full(3000, 50)
+    stats = {}
+    pairs = sum(len(i) for i, _, _ in simhash.tree_pairs(h, n, h, n, 3, 1.25, leaf=64, stats=stats))
+    assert pairs == 2 * len(brute_pairs(h, n, 3, 1.25)) + 3000
+    assert stats["depth"] > 2 and stats["distances"] < 0.25 * 3000**2
+
+
+def test_shards_part_a_band_evenly():
+    h, _ = clustered(4000)
+    tree = simhash.Tree(h[:500], 8, 24)
+    at, shard, own = tree.visits(h)
+    assert tree.leaves == 8 and own.sum() == 4000 and len(np.unique(at[own])) == 4000
+    assert np.bincount(shard[own], minlength=8).max() < 4000 / 2
+    alike = simhash.Tree(np.repeat(h[:1], 100, axis=0), 8, 24)  # nothing to part
+    assert alike.leaves == 1
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(k, k + 1) for k in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
@@ -88,12 +125,18 @@ def test_components(spark):
     assert {r.id: r.root for r in got.collect()} == want
 
 
-def test_near_copies_are_found_and_others_left(spark):
+def test_near_copies_are_found_and_others_left(spark, monkeypatch):
     texts, group = near_copies()
+    texts, group = [*texts, *texts[:3]], [*group, *group[:3]]  # exact copies too
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS)
-    found = {r.doc_id: r.group_id for r in simhash.near_duplicates(docs).collect()}
     want = {k: group.index(g) for k, g in enumerate(group) if group.count(g) > 1}
-    assert found == want
+    h1, h2, n = simhash.fingerprints(pa.array(texts))
+    links = Counter(k for pair in brute_pairs(np.stack([h1, h2], 1), n, simhash.RADIUS, simhash.RATIO) for k in pair)
+    for shard in (simhash.SHARD, 30):
+        rows = simhash.grouped(docs, shard=shard).collect()
+        assert {r.doc_id: r.group_id for r in rows} == want and len(rows) == len(want)
+        assert {r.doc_id: r.n_links for r in rows} == dict(links)
+        assert all(r.group_size == group.count(group[r.doc_id]) for r in rows)
     kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
     assert kept == {group.index(g) for g in group}
 
@@ -117,12 +160,16 @@ def test_word_hashes_do_not_depend_on_slices(monkeypatch):
 def test_simhash_odd_rows(spark):
     long = " ".join(f"word{k}" for k in range(40_000))
     rows = [(1, "same text of words", 0), (2, "same text of words", 0), (2, "same text of words", 1), (3, None, 0), (4, "", 0), (None, "same text of words", 0), (5, long, 0), (6, long + " more", 0), (7, None, 0), (8, "alone here, quite different", 0), (8, "alone here, quite different", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, group_id int").withColumn("n", F.lit("x")).withColumn("band", F.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, group_id int")
+    for name in ("n", "band", "_id", "_text", "_place", "h1", "a.b"):
+        docs = docs.withColumn(name, F.lit("mine"))
     got = {(r.doc_id, r.group_id, r.group_size) for r in simhash.near_duplicates(docs).collect()}
     assert got == {(1, 1, 2), (2, 1, 2), (5, 5, 2), (6, 5, 2)}
     out = simhash.drop_near_duplicates(docs)
     assert out.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "4", "5", "7", "8", "None"]
+    rows = out.collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["1", "3", "4", "5", "7", "8", "None"]
+    assert {v for r in rows for v in r[3:]} == {"mine"}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
