@@ -1,15 +1,24 @@
-"""LM scoring: a causal self-attention model over subword ids, trained in numpy.
+"""LM scoring: a causal self-attention model over subword ids, trained in numpy, and a memory of the corpus's sentences.
 
 p(token | context) = p(class | context) p(token | class). The classes hold about equal shares of the corpus's tokens, in order of
-frequency; p(token | class) comes from the counts of all tokens of all documents, so what is gathered grows with the corpus. The
-context model is one causal attention head and a feed-forward layer over the last WINDOW inputs.
+frequency; p(token | class) comes from the counts of all tokens of all documents. The context model is one causal attention head and a
+feed-forward layer over the last WINDOW inputs. What a small model of fixed size can't hold, the memory does, which grows with the corpus: with N
+other occurrences of the sentence before, M of them followed by this very sentence, a whole sentence has the probability
+
+    p(sentence | sentence before) = 1 / (N + 1) p(its tokens, by the attention model) + N / (N + 1) M / N,
+
+so a document that stands in the corpus twice is predicted from its copy, and a sentence after a new one from the attention model alone.
 
 1. every text is turned into subword ids once, into a table in the shared folder;
 2. tokens are counted over all documents, and classes cut;
-3. the model is started on the driver with WARM_DOCS documents, then each task trains a copy on all windows of its part of the
-   documents, and the copies are averaged, weighted by tokens;
+3. the attention model is trained on all tokens of all documents, in rounds. Documents are dealt to shards by a hash, shards being as many as the
+   corpus's tokens need. In a round each shard trains a copy of the model and of its optimiser's state on its documents of that
+   round, in order of their hash; the copies are averaged by tokens and go on to the next. The first rounds are short. Nothing
+   depends on how tables are split, but for the rounding of sums;
 4. every text is cut into overlapping windows: each token is scored once, in the window where it has the most context, and
-   batches of windows run through masked attention together.
+   batches of windows run through masked attention together;
+5. sentences are counted by hashes: each part of the scored table sends its distinct ones with their counts, and gets back the totals of
+   those that occur elsewhere too. A part sends no hash twice, so a sentence that a third of all documents holds is no hot group.
 """
 
 from __future__ import annotations
@@ -17,6 +26,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,22 +35,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, tune
+from .common import column, materialise, mix, tune
 
 #: Ranks of a byte-level BPE vocabulary, one "base64 rank" a line.
 VOCABULARY = os.environ.get("LOOMCORPUS_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WINDOW, OVERLAP, WIDTH, HIDDEN, CLASSES = 32, 8, 16, 16, 32
+WINDOW, OVERLAP, WIDTH, HIDDEN, CLASSES = 32, 8, 16, 32, 64
 #: Rows of the input embedding: the most frequent tokens have their own, the rest share hashed ones; the last is the start.
 OWN_ROWS, SHARED_ROWS = 4096, 1024
 ROWS = OWN_ROWS + SHARED_ROWS + 1
-#: Documents that start the model, and the share of all documents that it is then trained on.
-WARM_DOCS, TRAIN_SHARE = 300, 1.0
-BATCH = 512
-#: Rows of an Arrow batch here: a worker then holds the words of a few hundred texts.
-ROWS_AT_ONCE = 250
-#: Branches of the tree in which the copies of the model are averaged.
-BRANCHES = 64
+#: Tokens of a training shard at least, and shards at most; shards are larger beyond that.
+SHARD_TOKENS, MAX_SHARDS = 8_000_000, 16_384
+#: Sixteenths of the documents in each round, and its learning rate.
+ROUNDS = ((1, 0.01), (3, 0.004), (12, 0.002))
+#: Tokens whose windows are shuffled together in training.
+SHUFFLED = 1 << 18
+#: Windows of a scoring batch and of a training step.
+BATCH, STEP = 512, 128
+#: Parameters of a part of a copy, and branches of the tree in which copies are averaged.
+PART, BRANCHES = 1 << 14, 64
+#: Sentence hashes of a bucket, about.
+BUCKET = 1 << 21
 
 _encoders: dict[str, object] = {}
 
@@ -207,18 +222,20 @@ class Attention:
         G = self.views(g)
         b, w = rows.shape
         d, scale = WIDTH, np.float32(WIDTH**-0.5)
-        pick = np.flatnonzero(valid)  # what follows attention is needed at these places only
-        n = max(1, len(pick))
+        # what follows attention is needed at valid places only
+        pick = slice(None) if valid.all() else np.flatnonzero(valid)
         x = self.e[rows]
         x += self.p
         x = x.reshape(-1, d)
-        q, k, v = ((x @ m).reshape(b, w, d) for m in (self.q * scale, self.k, self.v))
-        a = q @ k.transpose(0, 2, 1)
+        q, v = ((x @ m).reshape(b, w, d) for m in (self.q * scale, self.v))
+        kt = self.k.T @ x.reshape(b, w, d).transpose(0, 2, 1)
+        a = q @ kt
         np.minimum(a, 60, out=a)
         np.exp(a, out=a)
         a *= self.MASK
-        a /= (a.reshape(-1, w) @ np.ones(w, np.float32)).reshape(b, w, 1)
+        a *= (1 / (a.reshape(-1, w) @ np.ones(w, np.float32))).reshape(b, w, 1)
         y = (a @ v).reshape(-1, d)[pick]
+        n = len(y)
         h1 = y @ self.o
         h1 += x[pick]
         z = h1 @ self.a
@@ -230,12 +247,13 @@ class Attention:
         p += self.c
         np.minimum(p, 60, out=p)
         np.exp(p, out=p)
-        p /= (p @ np.ones(CLASSES, np.float32))[:, None]
-        at = np.arange(0, len(pick) * CLASSES, CLASSES) + target.ravel()[pick]
-        loss = float(-np.log(p.ravel()[at] + 1e-12).sum() / n)
-        p.ravel()[at] -= 1
-        p *= np.float32(1 / n)
-        sums = np.ones(len(pick), np.float32)
+        p *= (1 / (p @ np.ones(CLASSES, np.float32)))[:, None]
+        at = np.arange(0, n * CLASSES, CLASSES) + target.ravel()[pick]
+        own = p.ravel()[at]
+        loss = float(-np.log(own + 1e-12).sum() / max(1, n))
+        p.ravel()[at] = own - 1
+        p *= np.float32(1 / max(1, n))
+        sums = np.ones(n, np.float32)
         G["u"][:], G["c"][:] = h2.T @ p, sums @ p
         dh = p @ self.u.T
         G["b"][:] = z.T @ dh
@@ -244,14 +262,16 @@ class Attention:
         G["a"][:], G["ab"][:] = h1.T @ dz, sums @ dz
         dh += dz @ self.a.T
         G["o"][:] = y.T @ dh
-        dy = np.zeros((b * w, d), np.float32)
-        dy[pick] = dh @ self.o.T
+        dy = dh @ self.o.T
+        if not isinstance(pick, slice):
+            dy, some = np.zeros((b * w, d), np.float32), dy
+            dy[pick] = some
         dy = dy.reshape(b, w, d)
         dv = (a.transpose(0, 2, 1) @ dy).reshape(-1, d)
         ds = dy @ v.transpose(0, 2, 1)
-        ds -= ((ds * a).reshape(-1, w) @ np.ones(w, np.float32)).reshape(b, w, 1)
         ds *= a
-        dq, dk = (ds @ k).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
+        ds -= a * (ds.reshape(-1, w) @ np.ones(w, np.float32)).reshape(b, w, 1)
+        dq, dk = (ds @ np.ascontiguousarray(kt.transpose(0, 2, 1))).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
         dq *= scale
         G["q"][:], G["k"][:], G["v"][:] = x.T @ dq, x.T @ dk, x.T @ dv
         dx = dq @ self.q.T
@@ -259,14 +279,10 @@ class Attention:
         dx += dv @ self.v.T
         dx[pick] += dh
         G["p"][:] = dx.reshape(b, w, d).sum(0)
-        short = rows.ravel().astype(np.int16)  # sorted by radix
-        order = np.argsort(short, kind="stable")
-        r = short[order]
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        G["e"][r[first]] = np.add.reduceat(dx[order], first)
+        _add_rows(G["e"], rows.ravel(), dx)
         return loss, g
 
-    def fit(self, rows: np.ndarray, target: np.ndarray, valid: np.ndarray, epochs: int, rate: float, batch: int = 64, seed: int = 3) -> list[float]:
+    def fit(self, rows: np.ndarray, target: np.ndarray, valid: np.ndarray, epochs: int, rate: float, batch: int = STEP, seed: int = 3) -> list[float]:
         """Adam over the windows, from where an earlier call left off; the mean loss of each epoch."""
         rng = np.random.default_rng(seed)
         if self.moments is None:
@@ -288,7 +304,7 @@ class Attention:
                 g *= 0.1
                 m += g
                 np.sqrt(v, out=move)
-                move /= (1 - 0.999**t) ** 0.5
+                move *= (1 - 0.999**t) ** -0.5
                 move += 1e-8
                 np.divide(m, move, out=move)
                 move *= rate / (1 - 0.9**t)
@@ -299,22 +315,41 @@ class Attention:
         return losses
 
 
+def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """out[rows[k]] += values[k], for all k."""
+    order = np.argsort(rows.astype(np.int16), kind="stable")  # by radix
+    r = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    times = np.diff(np.append(first, len(r)))
+    few = times <= 8
+    for k in range(int(times[few].max(initial=0))):  # the k-th of each row that has so many: no row twice
+        some = first[few & (times > k)] + k
+        out[r[some]] += values[order[some]]
+    for a, n in zip(first[~few].tolist(), times[~few].tolist()):
+        out[r[a]] += np.ones(n, np.float32) @ values[order[a : a + n]]
+
+
 def batches_of(ids: np.ndarray, off: np.ndarray, classes: Classes) -> tuple[np.ndarray, ...]:
-    """(input rows, target classes, places to score, text number, first) of all windows, padded to WINDOW."""
+    """(input rows, target classes' tokens, places to learn) of windows side by side, padded to WINDOW; each token is learned once. Full windows come first."""
     lens = np.diff(off)
-    doc, first, score_from, end = windows(lens)
+    n = -(-lens // WINDOW)
+    doc = np.repeat(np.arange(len(lens)), n)
+    first = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+    full = np.argsort(first + WINDOW > lens[doc], kind="stable")
+    doc, first = doc[full], first[full]
     place = first[:, None] + np.arange(WINDOW)
-    inside = place < end[:, None]
+    inside = place < lens[doc][:, None]
     at = np.minimum(off[doc][:, None] + place, max(len(ids) - 1, 0))
-    target = np.where(inside, ids[at] if len(ids) else 0, 0)
-    before = np.where(place > 0, ids[np.maximum(at - 1, 0)] if len(ids) else 0, 0)
-    rows = np.where(place > 0, classes.row[before], ROWS - 1)
-    return rows, target, inside & (place >= score_from[:, None]), doc, first
+    rows = np.full(at.shape, ROWS - 1)
+    if len(ids):
+        rows = np.where(place > 0, classes.row[ids[np.maximum(at - 1, 0)]], rows)
+        at = np.where(inside, ids[at], 0)
+    return rows, at, inside
 
 
-def score_ids(model: Attention, classes: Classes, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Sum of the log probabilities of each text's tokens."""
-    out = np.zeros(len(off) - 1)
+def score_tokens(model: Attention, classes: Classes, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Log probability of each token, by the attention model."""
+    out = np.zeros(len(ids), np.float32)
     doc, first, _, _ = windows(np.diff(off))
     for some, skip in ((np.flatnonzero(first == 0), 0), (np.flatnonzero(first > 0), OVERLAP)):
         for a in range(0, len(some), BATCH):
@@ -328,100 +363,276 @@ def score_ids(model: Attention, classes: Classes, ids: np.ndarray, off: np.ndarr
             rows[f == 0, 0] = ROWS - 1
             lp = model.log_probability(rows, classes.of[target], skip)
             lp += classes.log_share[target]
-            lp *= np.arange(skip, WINDOW) < lens[:, None]
-            out += np.bincount(d, lp.sum(1, dtype=np.float64), len(out))
+            inside = np.arange(skip, WINDOW) < lens[:, None]
+            out[at[:, skip:][inside]] = lp[inside]
     return out
 
 
-def _flat(column_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    off = column_.offsets.to_numpy().astype(np.int64)
-    return column_.values.to_numpy()[off[0] : off[-1]], off - off[0]
+@lru_cache(4)
+def stops(vocabulary: str) -> np.ndarray:
+    """For each id whether its bytes hold a full stop, exclamation or question mark or newline: a sentence ends with it."""
+    ranks = encoder(vocabulary)._mergeable_ranks
+    out = np.zeros(max(ranks.values()) + 1, bool)
+    out[[i for b, i in ranks.items() if any(c in b for c in b".!?\n")]] = True
+    return out
 
 
-def train(table: DataFrame, classes: Classes, warm_docs: int = WARM_DOCS, train_share: float = TRAIN_SHARE) -> tuple[np.ndarray, int]:
-    """(parameters, tokens that the averaged copies were trained on) from (h, ids) of every document."""
-    model = Attention()
-    model.c[:] = classes.prior
-    # the threshold first, from hashes alone: then only the chosen rows move
-    full = table.filter("size(ids) > 0")
-    cut = full.select("h").orderBy("h").limit(warm_docs).agg(F.max("h")).first()[0]
-    warm = full.filter(F.col("h") <= cut).orderBy("h").limit(warm_docs).select("ids").toArrow()["ids"].combine_chunks()
-    if len(warm):
-        r, t, valid, _, _ = batches_of(*_flat(warm), classes)
-        model.fit(r, classes.of[t], valid, epochs=2, rate=0.01)
-    shared = table.sparkSession.sparkContext.broadcast((model.flat, classes))  # 1.5 MB, whatever the input
-    chunk = 1024
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, cl = shared.value
-        own, seen = Attention(flat.copy()), 0
-        for b in batches:
-            ids, off = _flat(b["ids"])
-            if len(ids):
-                r, t, valid, _, _ = batches_of(ids, off, cl)
-                own.fit(r, cl.of[t], valid, epochs=1, rate=0.002)
-                seen += len(ids)
-        if seen:
-            parts = [own.flat[a : a + chunk] for a in range(0, len(own.flat), chunk)]
-            yield pa.record_batch({"part": pa.array(range(len(parts)), pa.int32()), "branch": pa.array([TaskContext.get().partitionId() % BRANCHES] * len(parts), pa.int32()), "weight": pa.array([float(seen)] * len(parts)), "values": pa.array([p.tolist() for p in parts], pa.list_(pa.float32()))})
+def sentences(ids: np.ndarray, off: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where in ids each sentence begins, its hash, where each text's sentences begin)."""
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    begins = np.zeros(len(ids) + 1, bool)
+    begins[1:] = stop[ids]
+    begins[off] = True
+    first = np.flatnonzero(begins[:-1])
+    length = np.diff(np.append(first, len(ids)))
+    place = np.arange(len(ids)) - np.repeat(first, length)
+    h = mix(mix(ids.astype(np.uint64) + np.uint64(1)) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return first, mix(np.add.reduceat(h, first) + length.astype(np.uint64)), np.searchsorted(first, off)
 
-    def average(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = pdf["weight"].sum()
-        mean = sum(k * np.asarray(v, np.float64) for k, v in zip(pdf["weight"] / total, pdf["values"]))
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "weight": [total], "values": [mean.astype(np.float32).tolist()]})
-
-    share = table.filter(F.pmod("h", F.lit(100_000)) < int(train_share * 100_000)).select("ids")  # 1: all documents
-    # a tree of two levels: no task reads more than one part of a fraction of the copies
-    copies = share.mapInArrow(local, "part int, branch int, weight double, values array<float>")
-    schema = "part int, weight double, values array<float>"
-    averaged = copies.groupBy("part", "branch").applyInPandas(average, schema).groupBy("part").applyInPandas(average, schema).collect()  # the model's parameters
-    flat = model.flat.copy()
-    for p in averaged:
-        flat[p["part"] * chunk : p["part"] * chunk + len(p["values"])] = p["values"]
-    return flat, int(max((p["weight"] for p in averaged), default=0))
-
-
-def score(docs: DataFrame, vocabulary: str = VOCABULARY, warm_docs: int = WARM_DOCS, train_share: float = TRAIN_SHARE) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, perplexity) of every row.
 
-    Null and empty texts have no tokens: log_prob 0, perplexity null. Repeated rows and null ids are scored each,
-    alike up to the rounding of single precision. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    tune(spark)
+def pair_hash(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mix(mix(before, 3) + h, 4)
+
+
+def remembered(base: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Log probability of sentences: base by the attention model; n other occurrences of the sentence before, m of them followed by this one."""
+    n, m = np.asarray(n, float), np.asarray(m, float)
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(base - np.log(n + 1), np.log(m / (n + 1)))
+
+
+def _dtype(vocabulary: str) -> str:
+    return "<u2" if len(stops(vocabulary)) <= 1 << 16 else "<u4"
+
+
+def _flat(column_: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, offsets) of a column of packed ids."""
+    width = np.dtype(dtype).itemsize
+    off = np.frombuffer(column_.buffers()[1], np.int32)[column_.offset : column_.offset + len(column_) + 1].astype(np.int64)
+    data = column_.buffers()[2]
+    ids = np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(dtype) if data is not None else np.zeros(0, dtype)
+    return ids.astype(np.int32), (off - off[0]) // width
+
+
+def _packed(values: np.ndarray, off: np.ndarray) -> pa.Array:
+    """One binary of each run of values."""
+    data = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def token_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, h, ids) of every row, in the shared folder: ids packed, h a hash of the row."""
+    dtype = _dtype(vocabulary)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, off = encode([t or "" for t in b["text"].to_pylist()], vocabulary)
-            yield pa.record_batch({"doc_id": b["doc_id"], "h": b["h"], "ids": pa.ListArray.from_arrays(off.astype(np.int32), ids.astype(np.int32))})
+            yield pa.record_batch({"doc_id": b["doc_id"], "h": b["h"], "ids": _packed(ids.astype(dtype), off)})
 
     rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text")).withColumn("h", F.xxhash64("doc_id", "text", F.lit(17)))
-    table = materialise(rows.mapInArrow(tokens, "doc_id long, h long, ids array<int>"), "tokens")
-    size = max(encoder(vocabulary)._mergeable_ranks.values()) + 1
+    return materialise(rows.mapInArrow(tokens, "doc_id long, h long, ids binary"), "tokens")
+
+
+def count_tokens(table: DataFrame, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """How often each id occurs."""
+    size, dtype = len(stops(vocabulary)), _dtype(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            total += np.bincount(_flat(b["ids"])[0], minlength=size)
+            total += np.bincount(_flat(b["ids"], dtype)[0], minlength=size)
         some = np.flatnonzero(total)
         yield pa.record_batch({"id": some.astype(np.int32), "c": total[some]})
 
     counted = table.select("ids").mapInArrow(count, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()  # at most a row for each subword
     counts = np.zeros(size, np.int64)
     counts[counted["id"].to_numpy()] = counted["c"].to_numpy()
-    classes = Classes(counts)
+    return counts
 
-    flat, _ = train(table, classes, warm_docs, train_share)
-    final = spark.sparkContext.broadcast((flat, classes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, cl = final.value
-        m = Attention(flat)
+def train(table: DataFrame, classes: Classes, tokens: int, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS, rounds: tuple = ROUNDS) -> tuple[np.ndarray, int]:
+    """(parameters, tokens that were learned) from (h, ids) of every document; tokens: how many there are."""
+    model, dtype = Attention(), _dtype(vocabulary)
+    model.c[:] = classes.prior
+    state = np.stack([model.flat, np.zeros_like(model.flat), np.zeros_like(model.flat)])
+    steps, learned = 0, 0
+    shards = max(1, min(MAX_SHARDS, -(-tokens // shard_tokens)))
+    dealt = table.filter("octet_length(ids) > 0").select("h", "ids", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("h", F.lit(2)), F.lit(16)).alias("turn"))
+    spark = table.sparkSession
+    size = state.shape[1]
+    begin = 0
+
+    def rows_of(weight: int, t: int, own: np.ndarray, branch: int) -> pa.RecordBatch:
+        parts = [own[:, a : a + PART] for a in range(0, size, PART)]
+        return pa.record_batch({"part": pa.array(range(len(parts)), pa.int32()), "branch": pa.array([branch] * len(parts), pa.int32()), "weight": pa.array([weight] * len(parts), pa.int64()), "steps": pa.array([t] * len(parts), pa.int64()), "values": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    def average(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = int(pdf["weight"].sum())
+        mean = sum(w / total * np.frombuffer(v, np.float32).astype(float) for w, v in zip(pdf["weight"], pdf["values"]))
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "weight": [total], "steps": [pdf["steps"].max()], "values": [mean.astype(np.float32).tobytes()]})
+
+    def learn(own: Attention, texts: list[np.ndarray], cl: Classes, rate: float) -> None:
+        r, t, inside = batches_of(np.concatenate(texts), np.cumsum([0, *map(len, texts)]), cl)
+        own.fit(r, cl.of[t], inside, epochs=1, rate=rate, seed=own.moments[2])
+
+    for share, rate in rounds:
+        sent = spark.sparkContext.broadcast((state, steps, classes))  # some 2 MB, whatever the input
+
+        def local(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            state, steps, cl = sent.value
+            own, weight, held, size = None, 0, [], 0
+            for b in batches:
+                ids, off = _flat(b["ids"], dtype)
+                if own is None:
+                    own = Attention(state[0].copy())
+                    own.moments = state[1].copy(), state[2].copy(), steps
+                for a, e in zip(off[:-1].tolist(), off[1:].tolist()):
+                    held.append(ids[a:e])
+                    weight, size = weight + e - a, size + e - a
+                    if size >= SHUFFLED:  # counted from document to document, so however the batches fall
+                        learn(own, held, cl, rate)
+                        held, size = [], 0
+            if own is not None:
+                if held:
+                    learn(own, held, cl, rate)
+                yield rows_of(weight, own.moments[2], np.stack([own.flat, *own.moments[:2]]), TaskContext.get().partitionId() % BRANCHES)
+
+        turn = dealt.filter(F.col("turn").between(begin, begin + share - 1))
+        begin += share
+        # a partition is a shard, in the order of its rows' hashes
+        copies = turn.repartitionById(shards, F.col("shard")).sortWithinPartitions("h", "ids").select("ids").mapInArrow(local, "part int, branch int, weight long, steps long, values binary")
+        # a tree of two levels: no task reads more than one part of a fraction of the copies
+        schema = "part int, weight long, steps long, values binary"
+        averaged = copies.groupBy("part", "branch").applyInPandas(average, schema).groupBy("part").applyInPandas(average, schema).collect()  # the model's parameters
+        state = state.copy()
+        for p in averaged:
+            values = np.frombuffer(p["values"], np.float32).reshape(3, -1)
+            state[:, p["part"] * PART : p["part"] * PART + values.shape[1]] = values
+        steps = max([steps, *(p["steps"] for p in averaged)])
+        learned += max((p["weight"] for p in averaged), default=0)
+        sent.destroy()
+    return state[0], learned
+
+
+def score_table(table: DataFrame, flat: np.ndarray, classes: Classes, vocabulary: str = VOCABULARY, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, perplexity) of every row of a token table."""
+    spark = table.sparkSession
+    dtype = _dtype(vocabulary)
+    sent = spark.sparkContext.broadcast((flat, classes))  # some 2 MB
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, cl = sent.value
+        m, stop, unit = Attention(flat), stops(vocabulary), TaskContext.get().partitionId()
+        for b in batches:
+            ids, off = _flat(b["ids"], dtype)
+            lp = score_tokens(m, cl, ids, off)
+            begin, h, at = sentences(ids, off, stop)
+            base = np.add.reduceat(lp.astype(float), begin) if len(begin) else np.zeros(0)
+            yield pa.record_batch({"doc_id": b["doc_id"], "unit": pa.array([unit] * b.num_rows, pa.int32()), "n_tokens": pa.array(np.diff(off), pa.int32()), "h": _packed(h, at), "base": _packed(base.astype(np.float32), at)})
+
+    scored = materialise(table.select("doc_id", "ids").mapInArrow(first, "doc_id long, unit int, n_tokens int, h binary, base binary"), "scored")
+    sentence_count = scored.agg(F.coalesce(F.sum(F.octet_length("h")), F.lit(0))).first()[0] // 8
+    buckets = max(1, -(-2 * sentence_count // bucket))
+
+    def keys_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of the sentences that have one before them, its key, the pair's key)."""
+        follows = np.ones(len(h), bool)
+        follows[at[:-1][at[:-1] < len(h)]] = False
+        k = np.flatnonzero(follows)
+        return k, mix(h[k - 1], 9), pair_hash(h[k - 1], h[k])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now = None
+
+        def send() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            b = (keys % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(b, kind="stable")
+            some, first = np.unique(b[order], return_index=True)
+            off = np.append(first, len(keys))
+            return pa.record_batch({"bucket": pa.array(some, pa.int32()), "unit": pa.array([now] * len(some), pa.int32()), "keys": _packed(keys[order], off), "counts": _packed(counts[order].astype(np.int32), off)})
+
         for b in batches:
-            ids, off = _flat(b["ids"])
-            n = np.diff(off)
-            lp = score_ids(m, cl, ids, off)
-            ppl = np.exp(np.minimum(-lp / np.maximum(n, 1), 700))
-            yield pa.record_batch({"doc_id": b["doc_id"], "n_tokens": pa.array(n, pa.int32()), "log_prob": lp, "perplexity": pa.array(ppl, mask=n == 0)})
+            units = b["unit"].to_numpy()
+            h, at = _flat64(b["h"], np.uint64)
+            for u in np.unique(units).tolist():
+                rows = np.flatnonzero(units == u)
+                if now is not None and now != u and held:
+                    yield send()
+                    held.clear()
+                now = u
+                lo, hi = rows[0], rows[-1] + 1
+                _, before, pair = keys_of(h[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                held += [before, pair]
+                if sum(map(len, held)) > 1 << 22:
+                    yield send()
+                    held.clear()
+        if held:
+            yield send()
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
+        counts = np.concatenate([np.frombuffer(c, np.int32) for c in pdf["counts"]]).astype(np.int64)
+        distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(number, counts).astype(np.int64)[number]
+        out, a = [], 0
+        for unit, k in zip(pdf["unit"], keys):
+            t = total[a : a + len(k)]
+            a += len(k)
+            again = t > 1
+            if again.any():
+                out.append((unit, k[again].tobytes(), t[again].tobytes()))
+        return pd.DataFrame(out, columns=["unit", "keys", "totals"])
+
+    def last(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in answers["keys"]]) if len(answers) else np.zeros(0, np.uint64)
+        totals = np.concatenate([np.frombuffer(t, np.int64) for t in answers["totals"]]) if len(answers) else np.zeros(0, np.int64)
+        keys, place = np.unique(keys, return_index=True)
+        totals = totals[place]
+
+        def others(k: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(keys, k).clip(max=max(len(keys) - 1, 0))
+            return np.where(keys[at] == k, totals[at] - 1, 0) if len(keys) else np.zeros(len(k), np.int64)
+
+        lens = np.array([len(x) // 8 for x in docs["h"]], np.int64)
+        at = np.concatenate([[0], np.cumsum(lens)])
+        h = np.frombuffer(b"".join(docs["h"]), np.uint64)
+        lp = np.frombuffer(b"".join(docs["base"]), np.float32).astype(float)
+        k, before, pair = keys_of(h, at)
+        n = others(before)
+        some = np.flatnonzero(n > 0)
+        lp[k[some]] = remembered(lp[k[some]], n[some], np.minimum(others(pair[some]), n[some]))
+        doc = np.repeat(np.arange(len(docs)), lens)
+        total = np.bincount(doc, lp, len(docs))
+        tokens = docs["n_tokens"].to_numpy(np.int64)
+        ppl = np.exp(np.minimum(-total / np.maximum(tokens, 1), 700))
+        return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "n_tokens": tokens, "log_prob": np.where(tokens > 0, total, 0.0), "perplexity": pd.Series(ppl, dtype=object).where(tokens > 0, None)})
+
+    asked = scored.select("unit", "h").mapInArrow(ask, "bucket int, unit int, keys binary, counts binary")
+    answers = asked.groupBy("bucket").applyInPandas(answer, "unit int, keys binary, totals binary")
+    return scored.groupBy("unit").cogroup(answers.groupBy("unit")).applyInPandas(last, "doc_id long, n_tokens int, log_prob double, perplexity double")
+
+
+def _flat64(column_: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers, offsets) of a column of packed ones."""
+    off = np.frombuffer(column_.buffers()[1], np.int32)[column_.offset : column_.offset + len(column_) + 1].astype(np.int64)
+    data = column_.buffers()[2]
+    width = np.dtype(dtype).itemsize
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(dtype) if data is not None else np.zeros(0, dtype), (off - off[0]) // width
+
+
+def score(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS, rounds: tuple = ROUNDS) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, perplexity) of every row.
 
-    return table.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens int, log_prob double, perplexity double")
+    Null and empty texts have no tokens: log_prob 0, perplexity null. Repeated rows and null ids are scored each, alike up to
+    the rounding of single precision, and count as occurrences of each other's sentences. A text of any length is scored
+    whole. An empty table gives an empty result. Other columns don't matter.
+    """
+    tune(docs.sparkSession)
+    table = token_table(docs, vocabulary)
+    counts = count_tokens(table, vocabulary)
+    classes = Classes(counts)
+    flat, _ = train(table, classes, int(counts.sum()), vocabulary, shard_tokens, rounds)
+    return score_table(table, flat, classes, vocabulary)

@@ -175,56 +175,137 @@ def _small_model():
     classes = lm.Classes(np.bincount(ids, minlength=50_256))
     m = lm.Attention()
     m.c[:] = classes.prior
-    r, t, v, _, _ = lm.batches_of(ids[: off[80]], off[:81], classes)
+    r, t, v = lm.batches_of(ids[: off[80]], off[:81], classes)
     losses = m.fit(r, classes.of[t], v, epochs=2, rate=0.01)
     return m, classes, ids, off, losses
 
 
+def plain_scores(m, classes, mine):
+    """Log probability of each token of one text: one window at a time, every token in the only window that is to score it."""
+    out = np.zeros(len(mine))
+    _, first, start, end = lm.windows(np.array([len(mine)]))
+    assert np.concatenate([np.arange(a, b) for a, b in zip(start, end)] or [[]]).tolist() == list(range(len(mine)))
+    for f, a, b in zip(first, start, end):
+        inputs = np.array([lm.ROWS - 1 if p == 0 else classes.row[mine[p - 1]] for p in range(f, b)])
+        x = m.e[inputs] + m.p[: len(inputs)]
+        s = (x @ m.q) @ (x @ m.k).T / np.sqrt(lm.WIDTH)
+        s[np.triu_indices(len(s), 1)] = -np.inf
+        w = np.exp(s - s.max(1, keepdims=True))
+        h = x + (w / w.sum(1, keepdims=True)) @ (x @ m.v) @ m.o
+        h = h + np.maximum(h @ m.a + m.ab, 0) @ m.b
+        z = h @ m.u + m.c
+        z = z - np.log(np.exp(z).sum(1, keepdims=True))
+        out[a:b] = [z[p - f, classes.of[mine[p]]] + classes.log_share[mine[p]] for p in range(a, b)]
+    return out
+
+
 def test_lm_learns_and_scores_each_token_once():
     m, classes, ids, off, losses = _small_model()
     assert losses[1] < losses[0]
     held, at = ids[off[80] :], off[80:] - off[80]
-    got = lm.score_ids(m, classes, held, at)
+    got = lm.score_tokens(m, classes, held, at)
     unigram = (classes.log_share + classes.prior[classes.of])[held].sum()
     assert got.sum() > unigram
-    # brute force: one window at a time, every token in the only window that is to score it
     for k in range(5):
-        mine = held[at[k] : at[k + 1]]
-        _, first, start, end = lm.windows(np.array([len(mine)]))
-        assert np.concatenate([np.arange(a, b) for a, b in zip(start, end)]).tolist() == list(range(len(mine)))
-        total = 0.0
-        for f, a, b in zip(first, start, end):
-            inputs = np.array([lm.ROWS - 1 if p == 0 else classes.row[mine[p - 1]] for p in range(f, b)])
-            x = m.e[inputs] + m.p[: len(inputs)]
-            s = (x @ m.q) @ (x @ m.k).T / np.sqrt(lm.WIDTH)
-            s[np.triu_indices(len(s), 1)] = -np.inf
-            w = np.exp(s - s.max(1, keepdims=True))
-            h = x + (w / w.sum(1, keepdims=True)) @ (x @ m.v) @ m.o
-            h = h + np.maximum(h @ m.a + m.ab, 0) @ m.b
-            z = h @ m.u + m.c
-            z = z - np.log(np.exp(z).sum(1, keepdims=True))
-            total += sum(z[p - f, classes.of[mine[p]]] + classes.log_share[mine[p]] for p in range(a, b))
-        assert got[k] == pytest.approx(total, rel=1e-3)
+        assert got[at[k] : at[k + 1]] == pytest.approx(plain_scores(m, classes, held[at[k] : at[k + 1]]), rel=1e-3, abs=1e-3)
 
 
 def test_lm_gradient():
     m, classes, ids, off, _ = _small_model()
-    r, t, v, _, _ = lm.batches_of(ids[: off[3]], off[:4], classes)
-    _, g = m.step(r[:8], classes.of[t[:8]], v[:8])
-    rng = np.random.default_rng(0)
-    for i in rng.integers(lm.ROWS * lm.WIDTH, len(g), 15):
-        old = m.flat[i]
-        m.flat[i] = old + 1e-2
-        a, _ = m.step(r[:8], classes.of[t[:8]], v[:8])
-        m.flat[i] = old - 1e-2
-        b, _ = m.step(r[:8], classes.of[t[:8]], v[:8])
-        m.flat[i] = old
-        assert (a - b) / 2e-2 == pytest.approx(g[i], abs=3e-3, rel=0.05)
+    r, t, v = lm.batches_of(ids[: off[3]], off[:4], classes)
+    for some in (slice(0, 8), slice(-8, None)):  # full windows, and padded ones
+        _, g = m.step(r[some], classes.of[t[some]], v[some])
+        rng = np.random.default_rng(0)
+        for i in [*rng.integers(lm.ROWS * lm.WIDTH, len(g), 15), *(r[some].ravel()[:5] * lm.WIDTH + 3)]:
+            old = m.flat[i]
+            m.flat[i] = old + 1e-2
+            a, _ = m.step(r[some], classes.of[t[some]], v[some])
+            m.flat[i] = old - 1e-2
+            b, _ = m.step(r[some], classes.of[t[some]], v[some])
+            m.flat[i] = old
+            assert (a - b) / 2e-2 == pytest.approx(g[i], abs=3e-3, rel=0.05)
+
+
+def test_rows_are_added_as_by_a_loop():
+    rng = np.random.default_rng(1)
+    rows = np.concatenate([rng.integers(0, 50, 300), np.repeat(7, 40)])
+    values = rng.normal(size=(340, lm.WIDTH)).astype(np.float32)
+    got, want = np.zeros((60, lm.WIDTH), np.float32), np.zeros((60, lm.WIDTH))
+    lm._add_rows(got, rows, values)
+    for r, v in zip(rows, values):
+        want[r] += v
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_windows_of_training_hold_each_token_once():
+    lens = np.array([0, 1, 31, 32, 33, 100])
+    ids = np.arange(lens.sum())
+    classes = lm.Classes(np.ones(len(ids)))
+    rows, target, inside = lm.batches_of(ids, np.concatenate([[0], np.cumsum(lens)]), classes)
+    assert sorted(target[inside].tolist()) == ids.tolist()
+    begins = np.cumsum(lens) - lens
+    for r, t, i in zip(rows, target, inside):
+        assert r[0] == (lm.ROWS - 1 if t[0] in begins else classes.row[t[0] - 1]) and (r[1:][i[1:]] == classes.row[t[:-1][i[1:]]]).all()
+
+
+def _sentences_of(ids, stop):
+    out, now = [], []
+    for x in ids.tolist():
+        now.append(x)
+        if stop[x]:
+            out.append(tuple(now))
+            now = []
+    return out + [tuple(now)] * bool(now)
+
+
+def test_score_equals_brute_force_whatever_the_partitions(spark):
+    rng = np.random.default_rng(7)
+    lines = [" ".join(rng.choice(["tree", "river", "house", "stone", "Haus", "vert", "42"], rng.integers(2, 12))) + rng.choice([".", "!", "\n", " ?"]) for _ in range(30)]
+    texts = [" ".join(rng.choice(lines, rng.integers(1, 9))) for _ in range(60)]
+    texts += [texts[0], texts[0], texts[1] + " more", "x", "", "word " * 300, lines[3] + " " + lines[4] + " " + lines[3] + " " + lines[4]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lm.tune(spark)
+    found = []
+    for parts in (2, 8):
+        table = lm.token_table(docs.repartition(parts))
+        counts = lm.count_tokens(table)
+        classes = lm.Classes(counts)
+        flat, learned = lm.train(table, classes, int(counts.sum()), shard_tokens=1000, rounds=((4, 0.01), (12, 0.005)))
+        assert learned == counts.sum()  # all tokens of all documents
+        found.append({r.doc_id: r for r in lm.score_table(table, flat, classes, bucket=60).collect()})
+        assert len(found[-1]) == len(texts)
+    assert {k: r.log_prob for k, r in found[0].items()} == pytest.approx({k: r.log_prob for k, r in found[1].items()}, rel=1e-3, abs=1e-3)
+    model, stop = lm.Attention(flat), lm.stops(lm.VOCABULARY)
+    each = [_sentences_of(np.array(lm.encoder(lm.VOCABULARY).encode_ordinary(t)), stop) for t in texts]
+    before, pairs = Counter(), Counter()
+    for s in each:
+        before.update(s[:-1])
+        pairs.update(zip(s, s[1:]))
+    for k, s in enumerate(each):
+        ids = np.array([x for y in s for x in y], int)
+        lp, total, at = plain_scores(model, classes, ids), 0.0, 0
+        for i, sentence in enumerate(s):
+            own = lp[at : at + len(sentence)].sum()
+            at += len(sentence)
+            n, m = (before[s[i - 1]] - 1, pairs[s[i - 1], sentence] - 1) if i else (0, 0)
+            total += own if n == 0 else np.log(np.exp(own) / (n + 1) + m / (n + 1))
+        r = found[1][k]
+        assert r.n_tokens == len(ids) and r.log_prob == pytest.approx(total, rel=2e-3, abs=2e-3), k
+        assert r.perplexity == (None if not len(ids) else pytest.approx(np.exp(-total / len(ids)), rel=1e-2))
+
+
+def test_copies_are_scored_apart(spark):
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").slice(0, 300)["text"].to_pylist()
+    texts = [t for t in dict.fromkeys(texts) if len(t) > 400][:150]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:10])), "doc_id long, text string")
+    ppl = {r.doc_id: r.perplexity for r in lm.score(docs).collect()}
+    twice = [ppl[k] for k in range(10)] + [ppl[len(texts) + k] for k in range(10)]
+    assert np.median(twice) < 0.5 * np.median([ppl[k] for k in range(10, len(texts))])
 
 
 def test_lm_odd_rows(spark):
     docs = odd_docs(spark, "perplexity double, ids string")
-    rows = lm.score(docs, train_share=0.5).collect()
+    rows = lm.score(docs).collect()
     assert len(rows) == 8
     by = {r.doc_id: r for r in rows}
     assert by[2].n_tokens == by[3].n_tokens == 0 and by[2].perplexity is None and by[3].log_prob == 0
@@ -234,13 +315,10 @@ def test_lm_odd_rows(spark):
     assert lm.score(docs.limit(0)).count() == 0
 
 
-def test_lm_is_trained_on_all_documents(spark):
+def test_more_documents_make_a_better_model(spark):
     rng = np.random.default_rng(5)
     words = [f"{a}{b}" for a in ("tree", "river", "house", "stone") for b in ("", "s", "less", "like")]
     texts = [" ".join(words[(k + j) % 16] for j in range(200)) for k in rng.integers(0, 16, 600).tolist()]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    loss = lambda **how: -lm.score(docs, warm_docs=0, **how).selectExpr("sum(log_prob) / sum(n_tokens)").first()[0]
-    assert loss() < loss(train_share=0.01) - 0.1
-    ids, off = lm.encode(texts)
-    table = spark.createDataFrame([(int(h), ids[off[k] : off[k + 1]].tolist()) for k, h in enumerate(rng.integers(-(2**62), 2**62, 600))], "h long, ids array<int>")
-    assert lm.train(table, lm.Classes(np.bincount(ids, minlength=50_256)), 5)[1] == len(ids)
+    loss = lambda rounds: -lm.score(docs, rounds=rounds).selectExpr("sum(log_prob) / sum(n_tokens)").first()[0]
+    assert loss(lm.ROUNDS) < loss(((1, 0.01),)) - 0.1
