@@ -16,8 +16,10 @@ SPACES = "[ \\t\\n\\f\\r]+"
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits of at least two bytes that are neither stop words nor numbers."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
-    return F.filter(words, lambda t: (F.octet_length(t) >= 2) & ~t.isin(*sorted(STOP_WORDS)) & ~t.rlike(r"^\p{Nd}+$"))
+    spaced = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    # numbers go with one pass over the text instead of a match for each word
+    words = F.split(F.regexp_replace(spaced, r"(?<![^ ])\p{Nd}+(?![^ ])", ""), " ")
+    return F.filter(words, lambda t: (F.octet_length(t) >= 2) & ~t.isin(*sorted(STOP_WORDS)))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -26,11 +28,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """All runs of n words, joined by spaces."""
+    """All runs of n words, joined by spaces: the runs of n - 1, each with the word behind it."""
     if n == 1:
         return words
-    every = F.transform(words, lambda _, i: F.concat_ws(" ", F.slice(words, i + 1, n)))
-    return F.slice(every, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    paired = F.zip_with(ngrams(words, n - 1), F.slice(words, F.lit(n), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.slice(paired, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
 
 
 def all_ngrams(words: Column) -> Column:
@@ -43,29 +45,16 @@ def query_ngrams(words: list[str]) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i : i + k]) for k in range(n, 0, -1) for i in range(n - k + 1)))
 
 
+def ngrams_of_query(words: Column, most: int = 6) -> Column:
+    """query_ngrams as a column: runs of up to `most` words, longest first, each once."""
+    return let(words, lambda w: F.array_distinct(F.concat(*(ngrams(w, n) for n in range(most, 0, -1)))))
+
+
 def phrase_text(text: Column) -> Column:
     """text as it is searched for phrases: marks and runs of white space become one space."""
     return F.regexp_replace(F.regexp_replace(text, PHRASE_MARKS, " "), SPACES, " ")
 
 
-def occurrences(text: Column, phrase: Column) -> Column:
-    """How often phrase occurs in text without overlaps, whatever the case."""
-    low = F.lower(text)
-    return ((F.length(low) - F.length(F.replace(low, F.lower(phrase), F.lit("")))) / F.length(phrase)).cast("int")
-
-
-def _window(text: Column, at: Column, size: Column, width: int) -> Column:
-    begin = F.greatest(at - width, F.lit(1))
-    end = F.least(at + size - 1 + width, F.length(text))
-    body = F.trim(F.substring(text, begin, end - begin + 1))
-    return F.when(at > 0, F.concat(F.when(begin > 1, "...").otherwise(""), body, F.when(end < F.length(text), "...").otherwise(""))).otherwise("")
-
-
-def phrase_context(text: Column, phrase: Column, width: int = 100) -> Column:
-    """`width` characters on either side of phrase's first occurrence in text, whatever the case; ... marks a cut side."""
-    return _window(text, F.position(F.lower(phrase), F.lower(text)), F.length(phrase), width)
-
-
 def word_context(text: Column, word: Column, width: int = 60) -> Column:
     """`width` characters on either side of word's first place in the lower-cased text, trimmed; '' without one."""
     low = F.lower(text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialise
+
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key."""
@@ -58,12 +60,20 @@ def failed(frontier: DataFrame, most: int = 3) -> DataFrame:
     return frontier.select(*[c for c in frontier.columns if c not in ("retries", "status")], retries.alias("retries"), F.when(F.col("retries") < most, "pending").otherwise("failed").alias("status"))
 
 
-def breadth_first(spark_links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """(url, depth): each URL's least number of links (src, dst) from the seeds, up to max_depth; one anti join and one shuffle a round."""
-    seen = seeds.select("url", F.lit(0).alias("depth")).dropDuplicates(["url"])
+def breadth_first(spark_links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int = 0) -> DataFrame:
+    """(url, depth): each URL's least number of links (src, dst) from the seeds, up to max_depth.
+
+    Each round's URLs are stored, so a round's plan doesn't hold the earlier ones. max_pages, if not 0, stops after the round in which
+    so many are reached, and keeps that many, by depth and url.
+    """
+    seen = materialise(seeds.select("url", F.lit(0).alias("depth")).dropDuplicates(["url"]), "depth0")
     edge = seen
     for depth in range(1, max_depth + 1):
+        if max_pages and seen.count() >= max_pages:
+            break
         nxt = edge.join(spark_links, edge["url"] == spark_links["src"]).select(F.col("dst").alias("url")).distinct()
-        edge = nxt.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
+        edge = materialise(nxt.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)), f"depth{depth}")
+        if edge.isEmpty():
+            break
         seen = seen.unionByName(edge)
-    return seen
+    return seen.orderBy("depth", "url").limit(max_pages) if max_pages else seen

@@ -2,35 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..functions import text as T
-
-
-def _starts(g: Column, ngrams: list[str]) -> Column:
-    cond = F.lit(False)
-    for n in ngrams:
-        cond = cond | g.startswith(n)
-    return cond
+from ..shared import materialise
+
+
+#: Pages whose n-grams are in memory at once.
+PAGES_AT_ONCE = 256
+
+
+def _grams(toks: pa.Array, prefixes: list[str] | None) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(page number, phrase, occurrences) of the n-grams of one to three words of each page's tokens."""
+    flat, page = toks.flatten(), pc.list_parent_indices(toks).to_numpy()
+    first = np.arange(len(flat))
+    if prefixes is not None:  # a phrase begins with a prefix only if its first word begins with the prefix's, or is it
+        begins = [pc.starts_with(flat, g.split(" ")[0]) for g in prefixes]
+        first = np.flatnonzero(np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in begins])) if begins else first[:0]
+    phrases, pages = [], []
+    for n in (1, 2, 3):
+        if n > 1:
+            first = first[first + n - 1 < len(flat)]
+            first = first[page[first + n - 1] == page[first]]
+        words = [flat.take(pa.array(first + k)) for k in range(n)]
+        phrases.append(pc.binary_join_element_wise(*words, " ") if n > 1 else words[0])
+        pages.append(page[first])
+    phrase, number = pa.concat_arrays(phrases), np.concatenate(pages)
+    if prefixes:
+        ok = pc.starts_with(phrase, prefixes[0])
+        for g in prefixes[1:]:
+            ok = pc.or_(ok, pc.starts_with(phrase, g))
+        phrase, number = phrase.filter(ok), number[ok.to_numpy(zero_copy_only=False)]
+    counted = pa.table({"page": number, "phrase": phrase}).group_by(["page", "phrase"]).aggregate([([], "count_all")]).combine_chunks()
+    column = lambda c: counted[c].chunk(0) if counted.num_rows else pa.array([], counted.schema.field(c).type)
+    return column("page").to_numpy(), column("phrase"), column("count_all").cast(pa.int32())
 
 
 def postings(pages: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
-    """(page_id, url, crawl_job_id, phrase, occurrences, match_type, found_at): the n-gram index of pages.
+    """(page_id, url, crawl_job_id, phrase, occurrences, match_type, found_at): the n-gram index of pages, each row of which is a page.
 
-    With prefixes, only phrases that start with one of them; they are selected inside the array, before rows are made.
+    A page's phrases are counted where the page is, in Arrow batches, so building the index moves nothing. With prefixes, only
+    phrases that start with one of them; words that can't begin one are left out before phrases are made.
     """
-    grams = T.all_ngrams(T.tokens(F.col("text_content")))
-    if prefixes is not None:
-        grams = F.filter(grams, lambda g: _starts(g, prefixes))
-    keys = ["page_id", "url", "crawl_job_id", "crawled_at"]
-    rows = pages.select(*keys, F.explode(grams).alias("phrase"))
-    counted = rows.groupBy(*keys, "phrase").agg(F.count("*").cast("int").alias("occurrences"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, PAGES_AT_ONCE):
+                b = whole.slice(a, PAGES_AT_ONCE)
+                page, phrase, n = _grams(b["toks"], prefixes)
+                own = b.select(["page_id", "url", "crawl_job_id", "crawled_at"]).take(pa.array(page))
+                yield pa.RecordBatch.from_arrays([*own.columns, phrase, n], names=[*own.schema.names, "phrase", "occurrences"])
+
+    rows = pages.select("page_id", "url", "crawl_job_id", "crawled_at", T.tokens(F.col("text_content")).alias("toks")).filter("toks IS NOT NULL")
+    schema = StructType([f for f in rows.schema if f.name != "toks"]).add("phrase", StringType()).add("occurrences", IntegerType())
+    counted = rows.mapInArrow(run, schema)
     return counted.select("page_id", "url", "crawl_job_id", "phrase", "occurrences", F.lit("content").alias("match_type"), F.col("crawled_at").alias("found_at"))
 
 
 def scored(matches: DataFrame, total: DataFrame, ngrams: list[str]) -> DataFrame:
-    """matches with df, idf, tf, boosts and score; `total` is one row with n, the number of pages in scope."""
+    """matches with df, idf, tf, boosts and score; `total` is one row with n, the number of pages in scope. matches are used twice: pass stored ones."""
     df = matches.groupBy("phrase").agg(F.countDistinct("page_id").alias("df"))
     out = matches.join(df, "phrase").crossJoin(F.broadcast(total))  # one row
     return out.withColumns(
@@ -57,6 +95,58 @@ def phrase_level(rows: DataFrame, ngrams: list[str]) -> DataFrame:
     return by
 
 
+#: Phrases whose automaton is in a worker's memory at once.
+PHRASES_AT_ONCE = 50_000
+
+
+def detect(rows: DataFrame, phrases: DataFrame, text: str, width: int = 100) -> DataFrame:
+    """rows with (phrase_id, phrase, occurrences, context) for every phrase that occurs in the normalised text, whatever the case.
+
+    occurrences doesn't count overlaps; context is `width` characters on either side of the first place, ... marks a cut side. One
+    pass of an automaton over each text finds all phrases of a slice; more than PHRASES_AT_ONCE take more passes. Empty
+    phrases occur nowhere.
+    """
+    phrases = phrases.filter("length(phrase) > 0").select("phrase_id", "phrase")
+    slices = max(1, -(-phrases.count() // PHRASES_AT_ONCE))
+    names = rows.columns
+    clean = rows.withColumn("_clean", T.phrase_text(F.col(text)))
+    schema = StructType([*rows.schema.fields, *phrases.schema.fields]).add("occurrences", IntegerType()).add("context", StringType())
+    out = None
+    for k in range(slices):
+        part = phrases.filter(F.pmod(F.xxhash64("phrase_id"), F.lit(slices)) == k).collect()  # about PHRASES_AT_ONCE
+        entries = [(r["phrase_id"], r["phrase"]) for r in part]
+        sent = rows.sparkSession.sparkContext.broadcast(entries)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            same: dict[str, list[int]] = {}
+            for i, (_, phrase) in enumerate(sent.value):
+                same.setdefault(phrase.lower(), []).append(i)
+            for low, which in same.items():
+                automaton.add_word(low, (low, which))
+            automaton.make_automaton()
+            for b in batches:
+                found = []
+                for row, t in enumerate(b["_clean"].to_pylist() if same else []):
+                    low = (t or "").lower()
+                    for word, which in {w: i for _, (w, i) in automaton.iter(low)}.items():
+                        at, n = low.find(word), low.count(word)
+                        a, e = max(at - width, 0), min(at + len(word) + width, len(t))
+                        context = ("..." if a else "") + t[a:e].strip(" ") + ("..." if e < len(t) else "")
+                        found += [(row, i, n, context) for i in which]
+                row, i, n, context = zip(*found) if found else ((), (), (), ())
+                own = b.select(names).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array([sent.value[x][c] for x in i], kind) for c, kind in enumerate(kinds)), pa.array(n, pa.int32()), pa.array(context, pa.string())], schema=target)
+
+        target = to_arrow_schema(schema)
+        kinds = [target.field(len(names)).type, target.field(len(names) + 1).type]
+        hits = clean.mapInArrow(run, schema)
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def page_level(rows: DataFrame, ngrams: list[str]) -> DataFrame:
     """One row for each url: score with the bonus for matching several query n-grams, their number, and the summed rounded phrase scores."""
     tagged = rows.withColumn("hit", F.filter(F.array(*(F.lit(n) for n in ngrams)), lambda n: F.col("phrase").startswith(n)))
@@ -74,15 +164,16 @@ def page_level(rows: DataFrame, ngrams: list[str]) -> DataFrame:
 def search(pages: DataFrame, jobs: DataFrame, words: list[str], limit: int | None = None, offset: int = 0, matches: DataFrame | None = None) -> DataFrame:
     """Keyword search: (url, domain, crawl_job_id, found_at, score, score_percent, matched_terms, occurrences), best first.
 
-    Without words or matches the result is empty. limit and offset page through it. `matches` replaces the content index.
+    Without words or matches the result is empty. limit and offset page through it. `matches` replaces the content index, as with
+    postings read from a store that is sorted by phrase (see sources.tables). What a search finds is stored once for its two uses.
     """
     ngrams = T.query_ngrams(words)
     live = pages.filter(~F.col("is_archived"))
     found = postings(live, ngrams) if matches is None else matches
     if not ngrams:
         found = found.filter("false")
-    rows = scored(found, live.agg(F.count("*").alias("n")), ngrams)
-    result = page_level(rows, ngrams)
+    rows = scored(materialise(found, "matches"), live.agg(F.count("*").alias("n")), ngrams)
+    result = materialise(page_level(rows, ngrams), "result")
     top = result.agg(F.max("total").alias("top"))
     out = result.crossJoin(F.broadcast(top)).join(jobs.select(F.col("id").alias("crawl_job_id"), "domain"), "crawl_job_id", "left")
     out = out.select(

@@ -9,6 +9,7 @@ from ..functions import html as H
 from ..functions import urls as U
 from ..operators import pages as P
 from ..operators import vectors as V
+from ..shared import materialise
 from ..tables import JOBS_SQL, PAGES_SQL, crawl_jobs, crawled_pages, read, sql_values, values
 from .html_queries import _LINKS_SQL, TEXT_SQL, links
 from .registry import register
@@ -69,6 +70,7 @@ SELECT * FROM c_ WHERE (crawl_job_id, url_hash) NOT IN (SELECT (crawl_job_id, ur
 def frontier_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links that are neither fetched nor waiting; those whose hash begins with 0 stand for the waiting ones."""
     found = links(spark, sf_dir).select(U.base_domain(U.host(F.col("base"))).alias("crawl_job_id"), F.sha2("link", 256).alias("url_hash"))
+    found = materialise(found.distinct(), "links")  # used twice: links are extracted once
     done = read(spark, sf_dir, "pages").select(U.base_domain(U.host(F.col("url"))).alias("crawl_job_id"), F.sha2(U.normalise(F.col("url")), 256).alias("url_hash"))
     return P.new_urls(found, done, found.filter("url_hash LIKE '0%'"))
 

@@ -9,6 +9,7 @@ from ..functions import stem
 from ..functions import text as T
 from ..functions.lexicon import STOP_WORDS
 from ..operators import search as S
+from ..shared import materialise
 from ..tables import JOBS_SQL, PAGES_SQL, crawl_jobs, crawled_pages, read, sql_values, values
 from .registry import register
 
@@ -100,7 +101,7 @@ FROM result_ r LEFT JOIN jobs_ j ON j.id = r.crawl_job_id
 @register("tf_idf", f"{_SCORED_SQL} SELECT page_id, phrase, round(tf, 4) AS tf, round(idf, 4) AS idf, round(tf * idf, 4) AS tfidf FROM scored_")
 def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = crawled_pages(spark, sf_dir)
-    rows = S.scored(S.postings(pages, NGRAMS), pages.agg(F.count("*").alias("n")), NGRAMS)
+    rows = S.scored(materialise(S.postings(pages, NGRAMS), "matches"), pages.agg(F.count("*").alias("n")), NGRAMS)
     return rows.select("page_id", "phrase", F.round("tf", 4).alias("tf"), F.round("idf", 4).alias("idf"), F.round(F.col("tf") * F.col("idf"), 4).alias("tfidf"))
 
 
@@ -121,7 +122,7 @@ _TYPED_SQL = _SCORED_SQL.replace("'content' AS match_type", "CASE page_id % 10 W
 def _typed(pages: DataFrame) -> DataFrame:
     """The index with some postings counted as found in URLs and anchors, so that all boosts occur."""
     kind = F.when(F.col("page_id") % 10 == 0, "url").when(F.col("page_id") % 10 == 1, "anchor").otherwise("content")
-    return S.postings(pages, NGRAMS).withColumn("match_type", kind)
+    return materialise(S.postings(pages, NGRAMS).withColumn("match_type", kind), "matches")
 
 
 @register("keyword_search_phrases", f"{_TYPED_SQL} SELECT url, phrase, match_type, sum(occurrences)::INTEGER AS occurrences, round(sum(tf), 3) AS tf, round(max(idf), 3) AS idf, round(sum(tf * idf), 3) AS tfidf, max(match_boost) AS match_boost, max(exact_boost) AS exact_boost, round(sum(score), 3) AS phrase_score FROM scored_ GROUP BY url, phrase, match_type")
@@ -141,7 +142,7 @@ def keyword_search_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score's breakdown and the primary phrase of each page."""
     pages = crawled_pages(spark, sf_dir)
     n = pages.filter(~F.col("is_archived")).agg(F.count("*").alias("n"))
-    rows = S.scored(_typed(pages), n, NGRAMS)
+    rows = materialise(S.scored(_typed(pages), n, NGRAMS), "scored")
     exact = F.when(F.col("phrase").isin(*NGRAMS), 0).otherwise(1)
     phrases = S.phrase_level(rows, NGRAMS).groupBy("url").agg(
         F.round(F.sum("phrase_score"), 3).alias("raw_score"),
@@ -164,10 +165,14 @@ def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, _QUERIES, "id int, q string").select("id", F.concat_ws(" ", T.tokens(F.col("q"))).alias("tokens"))
 
 
-@register("query_ngrams", f"WITH q_ AS (SELECT id, {tokens_sql('q')} AS toks FROM {sql_values(_QUERIES, 'id, q')}) SELECT DISTINCT id, unnest({grams_sql('toks')}) AS ngram FROM q_")
+@register("query_ngrams", f"""WITH q_ AS (SELECT id, {tokens_sql('q')} AS toks FROM {sql_values([*_QUERIES, (6, 'river house stone tree')], 'id, q')}),
+n_ AS (SELECT id, toks, unnest(range(1, len(toks) + 1)) AS n FROM q_), a_ AS (SELECT id, toks, n, unnest(range(1, len(toks) - n + 2)) AS a FROM n_),
+g_ AS (SELECT id, array_to_string(toks[a:a + n - 1], ' ') AS ngram, min(struct_pack(x := -n, y := a)) AS k FROM a_ GROUP BY ALL)
+SELECT id, ngram, row_number() OVER (PARTITION BY id ORDER BY k)::INTEGER AS rank FROM g_""")
 def query_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The n-grams of each query, each once; the queries have at most three words."""
-    return values(spark, _QUERIES, "id int, q string").select("id", F.explode(F.array_distinct(T.all_ngrams(T.tokens(F.col("q"))))).alias("ngram"))
+    """The n-grams of each query, longest first, each once; the same as functions.text.query_ngrams gives for one query."""
+    rows = values(spark, [*_QUERIES, (6, "river house stone tree")], "id int, q string")
+    return rows.select("id", F.posexplode(T.ngrams_of_query(T.tokens(F.col("q")))).alias("k", "ngram")).select("id", "ngram", (F.col("k") + 1).alias("rank"))
 
 
 @register("word_context", f"WITH {PAGES_SQL} SELECT page_id, trim(substring(lower(text_content), greatest(instr(lower(text_content), 'thing') - 60, 1), instr(lower(text_content), 'thing') + 65 - greatest(instr(lower(text_content), 'thing') - 60, 1))) AS context FROM pages_ WHERE instr(lower(text_content), 'thing') > 0")
@@ -187,13 +192,6 @@ def normal_sql(text: str) -> str:
     return f"regexp_replace(regexp_replace({text}, '{_MARKS_SQL}', ' ', 'g'), '[ \\t\\n\\f\\r]+', ' ', 'g')"
 
 
-def detect(rows: DataFrame, phrases: DataFrame, text: str) -> DataFrame:
-    """rows x phrases that occur in the normalised text, with counts and the context of the first place."""
-    clean = rows.withColumn("clean", T.phrase_text(F.col(text))).withColumn("low", F.lower("clean"))
-    hits = clean.join(F.broadcast(phrases), F.expr("contains(low, lower(phrase))"))  # phrases are entered by hand
-    return hits.withColumns({"occurrences": T.occurrences(F.col("clean"), F.col("phrase")), "context": T.phrase_context(F.col("clean"), F.col("phrase"))})
-
-
 def _detect_sql(source: str, key: str, text: str) -> str:
     return f"""WITH {PAGES_SQL}, c_ AS (SELECT {key} AS k, {normal_sql(text)} AS c FROM {source}),
     h_ AS (SELECT k, c, phrase_id, phrase, instr(lower(c), lower(phrase)) AS a FROM c_, {_PHRASES_SQL})
@@ -204,13 +202,13 @@ def _detect_sql(source: str, key: str, text: str) -> str:
 
 @register("phrase_detect_content", _detect_sql("pages_", "page_id", "text_content"))
 def phrase_detect_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = detect(crawled_pages(spark, sf_dir).select("page_id", "text_content"), values(spark, PHRASES, "phrase_id int, phrase string"), "text_content")
+    hits = S.detect(crawled_pages(spark, sf_dir).select("page_id", "text_content"), values(spark, PHRASES, "phrase_id int, phrase string"), "text_content")
     return hits.select("page_id", "phrase_id", "phrase", "occurrences", "context")
 
 
 @register("phrase_detect_url", _detect_sql("pages_", "page_id", "url"))
 def phrase_detect_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = detect(crawled_pages(spark, sf_dir).select("page_id", "url"), values(spark, PHRASES, "phrase_id int, phrase string"), "url")
+    hits = S.detect(crawled_pages(spark, sf_dir).select("page_id", "url"), values(spark, PHRASES, "phrase_id int, phrase string"), "url")
     return hits.select("page_id", "phrase_id", "phrase", "occurrences", "context")
 
 
@@ -221,7 +219,7 @@ _ANCHORS_SQL = "(SELECT page_id, array_to_string(list_transform(regexp_extract_a
 def phrase_detect_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), 1)
     rows = read(spark, sf_dir, "pages").select("page_id", F.concat_ws(" | ", links).alias("anchor"))
-    hits = detect(rows, values(spark, PHRASES, "phrase_id int, phrase string"), "anchor")
+    hits = S.detect(rows, values(spark, PHRASES, "phrase_id int, phrase string"), "anchor")
     return hits.select("page_id", F.concat(F.lit("Anchor: "), "context").alias("context"), "phrase_id", "phrase", "occurrences")
 
 
@@ -230,33 +228,7 @@ def phrase_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_detect_content(spark, sf_dir).filter("phrase_id = 4").select("page_id", "phrase", "context")
 
 
-def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.postings(crawled_pages(spark, sf_dir), NGRAMS)
-
-
-#: Phrases of the index with ids: those found, numbered in order, and the ones entered by hand.
-_PHRASE_TABLE_SQL = f"{_BASE}, phrases_ AS (SELECT phrase, TRUE AS extracted FROM postings_ GROUP BY phrase UNION SELECT phrase, FALSE FROM {_MANUAL_SQL})"
-
-
-def _phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _matches(spark, sf_dir).select("phrase").distinct().withColumn("extracted", F.lit(True))
-    return found.unionByName(values(spark, MANUAL, _MANUAL_SCHEMA).select("phrase", F.lit(False).alias("extracted"))).distinct()
-
-
-@register("phrase_stats", f"{_PHRASE_TABLE_SQL}, s_ AS (SELECT phrase, sum(occurrences) AS match_count, count(DISTINCT url) AS page_count FROM postings_ GROUP BY phrase) SELECT phrase, extracted, coalesce(match_count, 0)::BIGINT AS match_count, coalesce(page_count, 0)::BIGINT AS page_count FROM phrases_ LEFT JOIN s_ USING (phrase)")
-def phrase_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = _matches(spark, sf_dir).groupBy("phrase").agg(F.sum("occurrences").alias("match_count"), F.countDistinct("url").alias("page_count"))
-    out = _phrase_table(spark, sf_dir).join(stats, "phrase", "left").na.fill(0, ["match_count", "page_count"])
-    return out.select("phrase", "extracted", "match_count", "page_count").orderBy(F.desc("match_count"), "phrase", "extracted")
-
-
-@register("extracted_phrases", f"{_PHRASE_TABLE_SQL} SELECT DISTINCT phrase FROM phrases_ WHERE contains(lower(phrase), 'ing') AND phrase IN (SELECT phrase FROM postings_ WHERE crawl_job_id = 'src3')")
-def extracted_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside = _matches(spark, sf_dir).filter("crawl_job_id = 'src3'").select("phrase")
-    return _phrase_table(spark, sf_dir).filter(F.lower("phrase").contains("ing")).join(inside, "phrase", "left_semi").select("phrase").distinct()
-
-
-#: The same table over the whole index, whatever the phrases begin with.
+#: The phrases of the whole index, whatever they begin with, and the ones entered by hand.
 _WHOLE_SQL = f"""WITH {PAGES_SQL}, {TOKENS_SQL},
 grams_ AS (SELECT url, crawl_job_id, unnest({grams_sql('toks')}) AS phrase FROM tokens_ WHERE NOT is_archived),
 phrases_ AS (SELECT DISTINCT phrase, TRUE AS extracted FROM grams_ UNION SELECT phrase, FALSE FROM {_MANUAL_SQL})"""
@@ -266,22 +238,23 @@ def _whole_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.postings(crawled_pages(spark, sf_dir).filter(~F.col("is_archived")))
 
 
-@register("phrase_stats_all", f"{_WHOLE_SQL}, s_ AS (SELECT phrase, count(*) AS match_count, count(DISTINCT url) AS page_count FROM grams_ GROUP BY phrase) SELECT phrase, extracted, coalesce(match_count, 0)::BIGINT AS match_count, coalesce(page_count, 0)::BIGINT AS page_count FROM phrases_ LEFT JOIN s_ USING (phrase)")
-def phrase_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """phrase_stats over every phrase of the index."""
-    stats = _whole_index(spark, sf_dir).groupBy("phrase").agg(F.sum("occurrences").alias("match_count"), F.countDistinct("url").alias("page_count"))
-    found = stats.withColumn("extracted", F.lit(True))
-    manual = values(spark, MANUAL, _MANUAL_SCHEMA).select("phrase", F.lit(False).alias("extracted")).distinct()
-    entered = manual.join(stats, "phrase", "left").na.fill(0, ["match_count", "page_count"])
-    out = found.unionByName(entered)
-    return out.select("phrase", "extracted", "match_count", "page_count").orderBy(F.desc("match_count"), "phrase", "extracted")
+@register("phrase_stats", f"{_WHOLE_SQL}, s_ AS (SELECT phrase, count(*) AS match_count, count(DISTINCT url) AS page_count FROM grams_ GROUP BY phrase) SELECT phrase, extracted, coalesce(match_count, 0)::BIGINT AS match_count, coalesce(page_count, 0)::BIGINT AS page_count FROM phrases_ LEFT JOIN s_ USING (phrase)")
+def phrase_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of every phrase of the index, and of the ones entered by hand, in one aggregation; the latter get theirs by a mark."""
+    manual = values(spark, MANUAL, _MANUAL_SCHEMA).select("phrase").distinct()
+    found = _whole_index(spark, sf_dir).select("phrase", "occurrences", "url")
+    marks = manual.select("phrase", F.lit(0).alias("occurrences"), F.lit(None).cast("string").alias("url"))
+    # a url has one row for each of its phrases
+    stats = found.unionByName(marks).groupBy("phrase").agg(F.sum("occurrences").alias("match_count"), F.count("url").alias("page_count"), F.count_if(F.col("url").isNull()).alias("entered"))
+    kinds = F.filter(F.array(F.when(F.col("page_count") > 0, True), F.when(F.col("entered") > 0, False)), lambda x: x.isNotNull())
+    return stats.select("phrase", F.explode(kinds).alias("extracted"), "match_count", "page_count").orderBy(F.desc("match_count"), "phrase", "extracted")
 
 
-@register("extracted_phrases_all", f"{_WHOLE_SQL} SELECT DISTINCT phrase FROM phrases_ WHERE contains(lower(phrase), 'ing') AND phrase IN (SELECT phrase FROM grams_ WHERE crawl_job_id = 'src3')")
-def extracted_phrases_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """extracted_phrases over every phrase of the index; a phrase of the job's pages is in the table by that."""
-    inside = _whole_index(spark, sf_dir).filter("crawl_job_id = 'src3'").select("phrase")
-    return inside.filter(F.lower("phrase").contains("ing")).distinct()
+@register("extracted_phrases", f"{_WHOLE_SQL} SELECT DISTINCT phrase FROM phrases_ WHERE contains(lower(phrase), 'ing') AND phrase IN (SELECT phrase FROM grams_ WHERE crawl_job_id = 'src3')")
+def extracted_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases with "ing" of a job's pages; a phrase of its pages is in the table by that."""
+    pages = crawled_pages(spark, sf_dir).filter("crawl_job_id = 'src3' AND NOT is_archived")
+    return S.postings(pages).filter(F.lower("phrase").contains("ing")).select("phrase").distinct()
 
 
 @register("recent_phrases", "SELECT item_id AS id, text AS phrase FROM benchmark ORDER BY item_id DESC LIMIT 10")

@@ -58,9 +58,9 @@ def test_query_without_sql_runs(spark, name):
 def test_phrase_figures_cover_the_whole_index(spark, tmp_path):
     rows = [(1, "One thing nicht, thing", "en", "src3", 9), (2, "nicht singing", "de", "src3", 9), (3, "thing ring", "en", "src1", 9)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    stats = {(r.phrase, r.extracted): (r.match_count, r.page_count) for r in registry.queries()["phrase_stats_all"](spark, str(tmp_path)).collect()}
+    stats = {(r.phrase, r.extracted): (r.match_count, r.page_count) for r in registry.queries()["phrase_stats"](spark, str(tmp_path)).collect()}
     assert stats["thing", True] == stats["thing", False] == (3, 2) and stats["nicht", False] == (2, 2) and stats["attion", False] == (0, 0)
-    found = {r.phrase for r in registry.queries()["extracted_phrases_all"](spark, str(tmp_path)).collect()}
+    found = {r.phrase for r in registry.queries()["extracted_phrases"](spark, str(tmp_path)).collect()}
     assert {"thing", "singing", "nicht singing"} <= found and "ring" not in found
 
 
@@ -137,3 +137,30 @@ def test_nothing_else_imports_the_llm_folder():
     for p in (ROOT / "loomcorpus").rglob("*.py"):
         if "llm" not in p.parts:
             assert "llm" not in p.read_text()
+
+
+def test_phrases_are_detected_in_one_pass_or_several(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "abcdefMIDghijkl"), (2, "AAAA aa"), (3, None), (4, ""), (5, "real-time, Real  TIME")], "k int, t string")
+    phrases = spark.createDataFrame([(1, "mid"), (2, "aa"), (3, "real time"), (4, ""), (5, "AA"), (6, "none")], "phrase_id int, phrase string")
+    want = {(1, 1, "mid", 1, "...defMIDghi..."), (2, 2, "aa", 3, "AAAA..."), (2, 5, "AA", 3, "AAAA..."), (5, 3, "real time", 2, "real time Re...")}
+    for at_once in (50_000, 2):
+        monkeypatch.setattr(search, "PHRASES_AT_ONCE", at_once)
+        got = search.detect(rows, phrases, "t", 3).drop("t").collect()
+        assert {tuple(r) for r in got} == want and len(got) == 4
+
+
+def test_index_counts_like_a_loop(spark):
+    texts = [(1, "One thing nicht, thing one thing"), (2, ""), (3, None), (4, "42 x yz yz 7b"), (5, "solo")]
+    pages_ = spark.createDataFrame([(k, "u", "j", datetime.datetime(2024, 1, 1), t) for k, t in texts], "page_id long, url string, crawl_job_id string, crawled_at timestamp, text_content string")
+    words = {1: "thing nicht thing thing".split(), 4: "yz yz 7b".split(), 5: ["solo"]}
+    want = {}
+    for k, w in words.items():
+        for n in (1, 2, 3):
+            for a in range(len(w) - n + 1):
+                g = " ".join(w[a : a + n])
+                want[k, g] = want.get((k, g), 0) + 1
+    got = {(r.page_id, r.phrase): r.occurrences for r in search.postings(pages_).collect()}
+    assert got == want
+    for prefixes in (["thing"], ["thing ni", "y"], ["nope"], []):
+        some = {(r.page_id, r.phrase): r.occurrences for r in search.postings(pages_, prefixes).collect()}
+        assert some == {k: v for k, v in want.items() if any(k[1].startswith(p) for p in prefixes)}
