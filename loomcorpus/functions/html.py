@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,35 +16,18 @@ _URL_ATTRIBUTES = {"img": ("src",), "script": ("src",), "iframe": ("src",), "lin
 _DATA = ("data-href", "data-url", "data-src", "data-link")
 
 
-def decoded(text: Column) -> Column:
-    """text with the common entities replaced."""
-    for entity, char in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
-
 def text(html: Column) -> Column:
     """The text nodes outside script, style and noscript, without a separator; white space collapsed."""
-    for tag in ("script", "style", "noscript"):
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    html = F.regexp_replace(F.regexp_replace(html, "(?s)<!--.*?-->", ""), "(?s)<[!/a-zA-Z][^>]*>", "")
-    return F.trim(F.regexp_replace(decoded(html), "[ \\t\\n\\f\\r]+", " "))
+    return parse(html)["text"]
 
 
 def title(html: Column) -> Column:
-    return F.trim(decoded(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return parse(html)["title"]
 
 
 def anchors(html: Column) -> Column:
-    """array<struct<href, anchor>> of all <a href>."""
-    found = F.regexp_extract_all(html, F.lit(r'(?is)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), 1)
-    return F.transform(
-        found,
-        lambda a: F.struct(
-            decoded(F.regexp_extract(a, r'(?is)href="([^"]*)"', 1)).alias("href"),
-            F.trim(F.regexp_replace(decoded(F.regexp_replace(a, "(?s)<[^>]*>", "")), "[ \\t\\n\\f\\r]+", " ")).alias("anchor"),
-        ),
-    )
+    """array<struct<kind, href, anchor>> of all <a href>, however the attribute is quoted."""
+    return F.filter(parse(html)["links"], lambda a: a["kind"] == "a")
 
 
 def joined_anchors(texts: Column) -> Column:
@@ -117,15 +101,18 @@ class _Reader(HTMLParser):
             self.links[k] = kind, href, text_ + data
 
 
+def _plain(text_: str) -> str:
+    return _SPACES.sub(" ", text_).strip(" ")
+
+
 def script_urls(body: str, most: int = 200, largest: int = 512 << 10) -> list[str]:
     """Bare http(s) URLs in a script of up to `largest` bytes, the first `most`."""
-    import re
-
     if len(body.encode()) > largest:
         return []
     return [u.rstrip(".,;:!?)]}") for u in re.findall(r"https?://[^\s\"'<>\\`]+", body)[:most]]
 
 
+_SPACES = re.compile(r"[ \t\n\f\r]+")
 _LINK = T.StructType().add("kind", "string").add("href", "string").add("anchor", "string")
 
 
@@ -137,7 +124,7 @@ def parse(pages: pd.Series) -> pd.DataFrame:
         r = _Reader()
         r.feed(page or "")
         r.close()
-        out.append((" ".join("".join(r.parts).split()), (r.title or "").strip(), [{"kind": k, "href": h.strip(), "anchor": " ".join(t.split())} for k, h, t in r.links]))
+        out.append((_plain("".join(r.parts)), (r.title or "").strip(), [{"kind": k, "href": h.strip(), "anchor": _plain(t)} for k, h, t in r.links]))
     return pd.DataFrame(out, columns=["text", "title", "links"])
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -28,16 +32,39 @@ def modal_dimension(vectors: DataFrame) -> DataFrame:
     return full.join(F.broadcast(mode), "dim", "left_semi")
 
 
-@F.pandas_udf(T.BinaryType())
-def encode(vectors: pd.Series) -> pd.Series:
-    """float32, little endian."""
-    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+def encode(vectors: DataFrame, column: str, to: str) -> DataFrame:
+    """vectors with a column `to`: float32, little endian; a null stays null, and nulls in a vector become NaN."""
+    schema = StructType([*vectors.schema.fields]).add(to, T.BinaryType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b[column].cast(pa.list_(pa.float32()))
+            flat = np.ascontiguousarray(v.flatten().to_numpy(zero_copy_only=False), "<f4")
+            size = pc.fill_null(pc.list_value_length(v), 0).to_numpy()
+            off = np.concatenate([[0], 4 * np.cumsum(size, dtype=np.int64)]).astype(np.int32)
+            valid = pc.is_valid(v)
+            blob = pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(off), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pc.if_else(valid, blob, None)], names=[*b.schema.names, to])
+
+    return vectors.mapInArrow(run, schema)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def decode(blobs: pd.Series) -> pd.Series:
+def decode(blobs: DataFrame, column: str, to: str) -> DataFrame:
     """The reverse of encode; null where the length isn't a multiple of four."""
-    return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+    schema = StructType([*blobs.schema.fields]).add(to, T.ArrayType(T.FloatType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = pc.binary_length(b[column])
+            good = pc.fill_null(pc.equal(pc.bit_wise_and(size, 3), 0), False)
+            whole = pc.if_else(good, b[column], b"").cast(pa.binary())
+            off = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1]
+            data = whole.buffers()[2]
+            flat = np.frombuffer(data, np.uint8)[off[0] : off[-1]].view("<f4") if data is not None else np.zeros(0, "<f4")
+            lists = pa.ListArray.from_arrays(pa.array((off - off[0]) // 4, pa.int32()), pa.array(flat, pa.float32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pc.if_else(good, lists, None)], names=[*b.schema.names, to])
+
+    return blobs.mapInArrow(run, schema)
 
 
 def embed_input(title: Column, text: Column, model: str, query: bool = False, most: int = 1000) -> Column:

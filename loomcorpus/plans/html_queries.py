@@ -119,6 +119,27 @@ def links_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kinds(spark, ("inline",))
 
 
+#: Links and text that only a parser reads: quotes of all kinds or none, entities, upper case, unclosed elements, scripts with markup.
+_ODD = [
+    (1, "<p>Caf&eacute; &#233; &hellip; a&lt;b</p><A HREF='/one'>One</A> <a href=/two>Two <b>bold</b></a><a class=x href = \"/three?x=1&amp;y=2\">3</a>"),
+    (2, "<script>var s = '<a href=\"/no\">no</a></p>';</script><style>p {}</style><noscript>none</noscript>text<!-- <a href='/c'>c</a> --> after <a name=x>no target</a><a href='/open'>unclosed"),
+    (3, ""),
+]
+_ODD_LINKS = [(1, 0, "/one", "One"), (1, 1, "/two", "Two bold"), (1, 2, "/three?x=1&y=2", "3"), (2, 0, "/open", "unclosed")]
+_ODD_TEXTS = [(1, "Caf\u00e9 \u00e9 \u2026 a<bOne Two bold3"), (2, "text after no targetunclosed"), (3, "")]
+
+
+@register("html_odd_links", f"SELECT * FROM {sql_values(_ODD_LINKS, 'id, n, href, anchor')}")
+def html_odd_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, _ODD, "id int, html string").select("id", F.posexplode(H.anchors(F.col("html"))).alias("n", "a"))
+    return rows.select("id", "n", "a.href", "a.anchor")
+
+
+@register("html_odd_text", f"SELECT * FROM {sql_values(_ODD_TEXTS, 'id, text')}")
+def html_odd_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values(spark, _ODD, "id int, html string").select("id", H.text(F.col("html")).alias("text"))
+
+
 _MAPS = [(1, "<urlset><url><loc> https://X.com/a </loc></url><url><loc>https://x.com/b?utm_source=q</loc></url></urlset>"), (2, "<sitemapindex><sitemap><loc>https://x.com/s2.xml</loc></sitemap></sitemapindex>"), (3, "<urlset><url><loc><![CDATA[https://x.com/c]]></loc></url></urlset>"), (4, "")]
 _MAPS_SQL = sql_values(_MAPS, "id, xml")
 
@@ -191,7 +212,7 @@ def page_spa_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATES = [(1, 'x window.__STATE__ = {"a": {"b": "}\\""}, "c": [1, 2]}; more'), (2, "no state"), (3, "window.__STATE__ = {broken"), (4, None)]
 
 
-@register("json_state")
+@register("json_state", f"SELECT id, CASE WHEN json_valid(x) THEN json(x)::VARCHAR END AS state FROM (SELECT id, nullif(regexp_extract(body, 'window\\.__STATE__ = (\\{{.*\\}});', 1), '') AS x FROM {sql_values(_STATES, 'id, body')})")
 def json_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON object that a page embeds after a marker."""
     return values(spark, _STATES, "id int, body string").select("id", H.json_state("body", F.lit("window.__STATE__")).alias("state"))

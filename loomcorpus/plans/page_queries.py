@@ -178,11 +178,12 @@ def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(rows.filter("page_id % 5 = 0").select("page_id", "text_hash"), ["page_id", "text_hash"], "left_anti")
 
 
-@register("vector_codec")
+@register("vector_codec", "SELECT vec_id AS page_id, 4 * len(embedding)::INTEGER AS bytes, TRUE AS same, TRUE AS odd_is_null FROM embeddings")
 def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector through the binary codec and back."""
-    blob = _vectors(spark, sf_dir).select("page_id", "embedding", V.encode("embedding").alias("blob"))
-    return blob.select("page_id", F.length("blob").alias("bytes"), (V.decode("blob") == F.col("embedding").cast("array<float>")).alias("same"), V.decode(F.substring("blob", 1, 3)).isNull().alias("odd_is_null"))
+    blob = V.encode(_vectors(spark, sf_dir).select("page_id", "embedding"), "embedding", "blob")
+    cut = V.decode(V.decode(blob.withColumn("odd", F.substring("blob", 1, 3)), "blob", "back"), "odd", "none")
+    return cut.select("page_id", F.length("blob").alias("bytes"), (F.col("back") == F.col("embedding").cast("array<float>")).alias("same"), F.col("none").isNull().alias("odd_is_null"))
 
 
 # jobs

@@ -33,7 +33,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 def _load() -> None:
     """The modules register their queries when they are first imported."""
-    for name in ("text_queries", "url_queries", "html_queries", "page_queries"):
+    for name in ("text_queries", "url_queries", "html_queries", "page_queries", "job_queries"):
         import_module(f"{__package__}.{name}")
 
 

@@ -82,9 +82,26 @@ def test_search_without_words_is_empty(spark):
 
 
 def test_codec(spark):
-    df = spark.createDataFrame([([0.5, -2.0],)], "v array<float>").select(vectors.encode("v").alias("b"))
-    assert df.first().b == b"\x00\x00\x00?\x00\x00\x00\xc0"
-    assert df.select(vectors.decode("b").alias("v")).first().v == [0.5, -2.0]
+    rows = spark.createDataFrame([(1, [0.5, -2.0]), (2, []), (3, None), (4, [1.0])], "k int, v array<float>")
+    coded = vectors.encode(rows, "v", "b")
+    assert {r.k: r.b for r in coded.collect()} == {1: b"\x00\x00\x00?\x00\x00\x00\xc0", 2: b"", 3: None, 4: b"\x00\x00\x80?"}
+    back = vectors.decode(coded, "b", "w")
+    assert all(r.v == r.w for r in back.collect())
+    odd = spark.createDataFrame([(b"abc",), (None,), (b"\x00\x00\x80?",)], "b binary")
+    assert [r.v for r in vectors.decode(odd, "b", "v").collect()] == [None, None, [1.0]]
+
+
+def test_stored_index_and_vectors(spark, tmp_path):
+    when = datetime.datetime(2024, 1, 1)
+    rows = [(k, f"u{k}", "j", when, f"alpha beta gamma{k % 3} alpha") for k in range(20)]
+    pages_ = spark.createDataFrame(rows, "page_id long, url string, crawl_job_id string, crawled_at timestamp, text_content string").withColumn("is_archived", F.lit(False))
+    sources.write_postings(search.postings(pages_), str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p")).filter(F.col("phrase").startswith("alpha"))
+    jobs = spark.createDataFrame([("j", "d")], "id string, domain string")
+    one = search.search(pages_, jobs, ["alpha"], matches=stored).collect()
+    assert one == search.search(pages_, jobs, ["alpha"]).collect() and len(one) == 20
+    sources.write_vectors(spark.createDataFrame([(1, "a", [1.0]), (2, "b", [2.0])], "page_id long, crawl_job_id string, embedding array<float>"), str(tmp_path / "v"))
+    assert [r.page_id for r in spark.read.parquet(str(tmp_path / "v")).filter("crawl_job_id = 'b'").collect()] == [2]
 
 
 def test_sinks(spark, tmp_path):
