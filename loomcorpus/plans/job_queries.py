@@ -149,11 +149,11 @@ def live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LETTERS_SQL = ", ".join(f"length(text_content) - length(replace(text_content, '{c}', ''))" for c in "abcdefgh")
 
 
-@register("embed_texts", f"WITH {PAGES_SQL}, v AS (SELECT page_id, list_transform([{_LETTERS_SQL}], lambda x: x::DOUBLE) AS v FROM pages_), n AS (SELECT page_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM v) SELECT page_id, round(v[1] / greatest(s, 1e-300), 4) AS first, round(v[8] / greatest(s, 1e-300), 4) AS last, s > 0 AS any_letter FROM n")
+@register("embed_texts", f"WITH {PAGES_SQL}, v AS (SELECT page_id, list_transform([{_LETTERS_SQL}], lambda x: x::DOUBLE) AS v FROM pages_), n AS (SELECT page_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM v) SELECT page_id, round(v[1] / greatest(s, 1e-300), 2) AS first, round(v[8] / greatest(s, 1e-300), 2) AS last, s > 0 AS any_letter FROM n")
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts embedded by a model that is plugged in: here one that counts letters."""
     rows = crawled_pages(spark, sf_dir).select("page_id", hooks.embed(F.col("text_content"), hooks.letter_profile).alias("v"))
-    d = lambda k: F.round(F.col("v")[k].cast("double"), 4)
+    d = lambda k: F.round(F.col("v")[k].cast("double"), 2)
     return rows.select("page_id", d(0).alias("first"), d(7).alias("last"), F.exists("v", lambda x: x > 0).alias("any_letter"))
 
 
