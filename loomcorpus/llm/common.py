@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import discard, materialise, numbered, shared_dir
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "Words", "column", "discard", "field", "free", "materialise", "mix", "numbered", "per_text", "place", "raw", "shared_dir", "spans", "tune", "word_hashes"]
+
 #: Rows and bytes of an Arrow batch, at most: Python workers hold one batch at a time, whatever the input and however long its texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Bytes of text that the vectorised tokeniser handles at once.
 SLICE = 1 << 18
 
-_own: dict[str, str] = {}
-
 
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches. All operators set the same values, so no plan is run with those of another."""
@@ -26,64 +24,11 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; in local mode, where it is unset, a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _own.setdefault("dir", tempfile.mkdtemp(prefix="loomcorpus-"))
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it back: lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomcorpus/{what}-{uuid.uuid4().hex}"
-    plain = numbered(df)
-    plain.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
-    out._loomcorpus_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that materialise made and nothing needs any more."""
-    for df in tables:
-        path = df._loomcorpus_path
-        _written.remove((df.sparkSession, path))
-        _delete(path, df.sparkSession)
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _delete(path: str, spark: SparkSession) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def clean() -> None:
-    """Removes this session's tables from the shared folder."""
-    while _written:
-        spark, path = _written.pop()
-        if spark.sparkContext._jsc is not None:
-            _delete(path, spark)
-
-
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """df's column, or a null of that type where it is missing."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df with columns c0, c1, ...: names with dots, names that differ in case only and names an operator uses itself do no harm."""
-    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
-
-
 def place(df: DataFrame, name: str) -> str | None:
     """What numbered(df) calls df's column of that name; None where there is none."""
     return f"c{df.columns.index(name)}" if name in df.columns else None
