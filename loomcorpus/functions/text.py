@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicon import STOP_WORDS
 
+_STOPS = pa.array(sorted(STOP_WORDS))
+
 #: Marks that separate words when phrases are sought.
 PHRASE_MARKS = r"[,،;؛.·•:!?/\\|()\[\]{}<>@#$%^&*_=+~`\"'«»‹›—–\-\x{200c}\x{200d}\x{00ad}\x{2000}-\x{200a}]+"
 SPACES = "[ \\t\\n\\f\\r]+"
@@ -22,6 +27,17 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda t: (F.octet_length(t) >= 2) & ~t.isin(*sorted(STOP_WORDS)))
 
 
+def token_lists(texts: pa.Array) -> pa.ListArray:
+    """tokens() of a batch of texts, in Arrow; a null text has none. (Lower case is by single characters here, where a few letters have two.)"""
+    spaced = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}]+", " "), " ")
+    lists = pc.split_pattern(spaced, " ")
+    flat, row = lists.flatten(), pc.list_parent_indices(lists)
+    good = pc.and_(pc.greater_equal(pc.binary_length(flat), 2), pc.invert(pc.is_in(flat, _STOPS)))
+    good = pc.and_(good, pc.invert(pc.match_substring_regex(flat, r"^\p{Nd}+$")))
+    at = np.searchsorted(row.filter(good).to_numpy(), np.arange(len(texts) + 1))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat.filter(good))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once, also where use has it in a lambda."""
     return F.element_at(F.transform(F.array(value), use), 1)

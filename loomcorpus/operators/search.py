@@ -57,12 +57,12 @@ def postings(pages: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
         for whole in batches:
             for a in range(0, whole.num_rows, PAGES_AT_ONCE):
                 b = whole.slice(a, PAGES_AT_ONCE)
-                page, phrase, n = _grams(b["toks"], prefixes)
+                page, phrase, n = _grams(T.token_lists(b["text_content"]), prefixes)
                 own = b.select(["page_id", "url", "crawl_job_id", "crawled_at"]).take(pa.array(page))
                 yield pa.RecordBatch.from_arrays([*own.columns, phrase, n], names=[*own.schema.names, "phrase", "occurrences"])
 
-    rows = pages.select("page_id", "url", "crawl_job_id", "crawled_at", T.tokens(F.col("text_content")).alias("toks")).filter("toks IS NOT NULL")
-    schema = StructType([f for f in rows.schema if f.name != "toks"]).add("phrase", StringType()).add("occurrences", IntegerType())
+    rows = pages.select("page_id", "url", "crawl_job_id", "crawled_at", "text_content").filter("text_content IS NOT NULL")
+    schema = StructType([f for f in rows.schema if f.name != "text_content"]).add("phrase", StringType()).add("occurrences", IntegerType())
     counted = rows.mapInArrow(run, schema)
     return counted.select("page_id", "url", "crawl_job_id", "phrase", "occurrences", F.lit("content").alias("match_type"), F.col("crawled_at").alias("found_at"))
 

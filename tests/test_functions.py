@@ -1,5 +1,6 @@
 """Rules by worked examples."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,12 @@ def test_robots(spark):
 def test_json_state(spark):
     assert one(spark, H.json_state("b", F.lit("S =")), b='S = {"a": "}"} x') == '{"a":"}"}'
     assert one(spark, H.json_state("b", F.lit("S =")), b="S = {a") is None
+
+
+def test_tokens_in_arrow_equal_those_in_columns(spark):
+    texts = ["Real-time, 2024 é x Été 12ab ٣٤ ab٣", "", None, "the THE and", "a b c", "…", "naïve/co-op_x 42", "ﬁne ½ Ⅷ x²"]
+    more = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts + more)], "k int, t string")
+    want = {r.k: r.w for r in rows.select("k", T.tokens(F.col("t")).alias("w")).collect()}
+    got = T.token_lists(pa.array(texts + more)).to_pylist()
+    assert all((want[k] or []) == got[k] for k in want)
