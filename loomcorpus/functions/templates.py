@@ -46,3 +46,14 @@ def expand(spark: SparkSession, template: str, given: dict[str, str], most: int
     for n, v in zip(names, lists):
         one = one.crossJoin(spark.createDataFrame([(x,) for x in v], "value string")).select(F.replace("url", F.lit("{{" + n + "}}"), F.col("value")).alias("url"))
     return one
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, or 0 where b is 0."""
+    return F.when(b == 0, 0.0).otherwise(a / F.nullif(b, F.lit(0.0)))
+
+
+def cut(text: Column, size: int) -> Column:
+    """text's first `size` bytes; a character that they would part is left out."""
+    part = lambda n: F.try_validate_utf8(F.substring(text.cast("binary"), 1, max(n, 0)).cast("string"))
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.coalesce(*(part(size - k) for k in range(4))))

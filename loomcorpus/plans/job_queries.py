@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hooks
+from ..functions import hooks, templates
+from ..functions import html as H
 from ..functions import urls as U
 from ..operators import jobs as J
 from ..operators import pages as P
@@ -178,3 +179,56 @@ def stem_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     hooks.register_stemmer("fa", lambda words: [hooks.lemma_base(lemmas.get(w, w)) for w in words])
     rows = values(spark, _PERSIAN_WORDS, "word string, lang string")
     return rows.withColumn("stem", hooks.stemmed(F.col("word"), F.col("lang")))
+
+
+_SHELLS = [
+    (1, "j", "<div ng-app=x>{{a}}</div>"),
+    (2, "j", "<div ng-app=x>{{a}}</div>"),
+    (3, "j", "<div ng-app=x class=ng-scope>done</div>"),
+    (4, "j", "<div ng-app=x class=ng-scope>done</div>"),
+    (5, "k", "<div ng-app=x class=ng-scope>done</div>"),
+    (6, "j", "plain"),
+    (7, "j", "plain"),
+]
+
+
+@register("content_dedup_shells", f"""WITH s AS (SELECT *, contains(html, 'ng-app=') AND NOT contains(html, 'ng-scope') AS is_shell FROM {sql_values(_SHELLS, 'page_id, crawl_job_id, html')})
+SELECT min(page_id) AS page_id, crawl_job_id, FALSE AS is_shell FROM s WHERE NOT is_shell GROUP BY crawl_job_id, html UNION ALL SELECT page_id, crawl_job_id, TRUE FROM s WHERE is_shell""")
+def content_dedup_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shells of applications that never ran look alike and are no duplicates of each other."""
+    pages = values(spark, _SHELLS, "page_id int, crawl_job_id string, html string").withColumns({"doc_hash": F.sha2("html", 256), "is_shell": H.unrendered(F.col("html"))})
+    return P.content_dedup(pages).select("page_id", "crawl_job_id", "is_shell")
+
+
+#: Addresses with escapes, user info, ports and IPv6, and how they are normalised.
+_ANY = [
+    ("HTTP://User:pw@Example.COM:80/a%20b//c/?b=2&a=1&utm_source=x#top", "http://User:pw@example.com/a%20b/c?a=1&b=2"),
+    ("https://[2001:DB8::1]:8443/x/", "https://[2001:db8::1]:8443/x"),
+    ("//example.org/%7Euser", "https://example.org/~user"),
+    ("https://example.org/#/route", "https://example.org/#/route"),
+    ("ftp://example.org/", None),
+    ("https://", None),
+    ("https://example.org:99999/", None),
+    ("", None),
+]
+_JOINED = [("../c?q=1", "https://example.org/a/b/d", "https://example.org/a/c?q=1"), ("mailto:a@b.c", "https://example.org/", None), ("?x=%41", "https://example.org/p/", "https://example.org/p?x=A"), ("//h.example.net", "https://example.org/", "https://h.example.net/"), ("", "https://example.org/", None)]
+
+
+@register("url_normalize_any", f"SELECT * FROM {sql_values(_ANY, 'url, normal')}")
+def url_normalize_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values(spark, [(u,) for u, _ in _ANY], "url string").select("url", U.normalise_any("url").alias("normal"))
+
+
+@register("url_resolve_any", f"SELECT * FROM {sql_values(_JOINED, 'href, base, normal')}")
+def url_resolve_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values(spark, [r[:2] for r in _JOINED], "href string, base string").select("href", "base", U.resolve_any("href", "base").alias("normal"))
+
+
+_CELLS = [(1, 7.0, 2.0, "short"), (2, 1.0, 0.0, "a longer text"), (3, 0.0, 3.0, ""), (4, 9.0, 4.0, "exactly8"), (5, 1.0, 3.0, "\u00e9\u00e9\u00e9\u00e9x")]
+
+
+@register("template_helpers", f"SELECT id, CASE WHEN b = 0 THEN 0.0 ELSE round(a / b, 6) END AS ratio, (a + b)::INTEGER AS total, (a - b)::INTEGER AS difference, substring(t, 1, 8) AS cut FROM {sql_values(_CELLS, 'id, a, b, t')}")
+def template_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    rows = values(spark, _CELLS, "id int, a double, b double, t string")
+    return rows.select("id", F.round(templates.ratio(a, b), 6).alias("ratio"), (a + b).cast("int").alias("total"), (a - b).cast("int").alias("difference"), templates.cut(F.col("t"), 8).alias("cut"))
