@@ -227,7 +227,7 @@ def url_resolve_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CELLS = [(1, 7.0, 2.0, "short"), (2, 1.0, 0.0, "a longer text"), (3, 0.0, 3.0, ""), (4, 9.0, 4.0, "exactly8"), (5, 1.0, 3.0, "\u00e9\u00e9\u00e9\u00e9x")]
 
 
-@register("template_helpers", f"SELECT id, CASE WHEN b = 0 THEN 0.0 ELSE round(a / b, 6) END AS ratio, (a + b)::INTEGER AS total, (a - b)::INTEGER AS difference, substring(t, 1, 8) AS cut FROM {sql_values(_CELLS, 'id, a, b, t')}")
+@register("template_helpers", f"SELECT id, CASE WHEN b = 0 THEN 0.0 ELSE round(a / b, 6) END AS ratio, (a + b)::INTEGER AS total, (a - b)::INTEGER AS difference, (SELECT max(substring(t, 1, r.n)) FROM (SELECT unnest(range(0, 9)) AS n) r WHERE strlen(substring(t, 1, r.n)) <= 8) AS cut FROM {sql_values(_CELLS, 'id, a, b, t')}")
 def template_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     rows = values(spark, _CELLS, "id int, a double, b double, t string")
