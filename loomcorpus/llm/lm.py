@@ -165,6 +165,18 @@ def windows(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return doc, first, np.where(k > 0, first + OVERLAP, 0), np.minimum(first + WINDOW, lens[doc])
 
 
+ONES = np.ones(max(WINDOW, CLASSES), np.float32)
+#: Exponents are cut off here, so that their sums stay finite.
+LARGEST = np.float32(60)
+
+
+def _exp(x: np.ndarray) -> None:
+    """exp in place."""
+    if x.size and x.max() > LARGEST:
+        np.minimum(x, LARGEST, out=x)
+    np.exp(x, out=x)
+
+
 class Attention:
     """The parameters in one vector, named views on it, and forward and backward passes."""
 
@@ -193,17 +205,14 @@ class Attention:
         d, n = WIDTH, b * (w - skip)
         x = self.e[rows]
         x += self.p
-        flat = x.reshape(-1, d)
-        k = (flat @ self.k).reshape(b, w, d)
-        v = np.ones((b, w, d + 1), np.float32)  # the column of ones gives the sum of a row of attention
-        v[..., :d] = (flat @ self.v).reshape(b, w, d)
+        kv = (x.reshape(-1, d) @ np.concatenate([self.k, self.v], 1)).reshape(b, w, 2 * d)
         x = np.ascontiguousarray(x[:, skip:]).reshape(n, d)
-        s = (x @ (self.q * np.float32(d**-0.5))).reshape(b, w - skip, d) @ k.transpose(0, 2, 1)
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
+        s = (x @ (self.q * np.float32(d**-0.5))).reshape(b, w - skip, d) @ kv[..., :d].transpose(0, 2, 1)
+        _exp(s)
         s *= self.MASK[skip:]
-        y = (s @ v).reshape(n, d + 1)
-        h = (y[:, :d] / y[:, d:]) @ self.o
+        y = (s @ kv[..., d:]).reshape(n, d)
+        y *= (1 / (s.reshape(n, w) @ ONES[:w]))[:, None]
+        h = y @ self.o
         h += x
         z = h @ self.a
         z += self.ab
@@ -211,10 +220,9 @@ class Attention:
         h += z @ self.b
         out = h @ self.u
         out += self.c
-        np.minimum(out, 60, out=out)
-        own = out.ravel()[np.arange(0, n * CLASSES, CLASSES) + target.ravel()]
-        np.exp(out, out=out)
-        return (own - np.log(out @ np.ones(CLASSES, np.float32))).reshape(b, w - skip)
+        own = np.minimum(out.ravel()[np.arange(0, n * CLASSES, CLASSES) + target.ravel()], LARGEST)
+        _exp(out)
+        return (own - np.log(out @ ONES[:CLASSES])).reshape(b, w - skip)
 
     def step(self, rows: np.ndarray, target: np.ndarray, valid: np.ndarray) -> tuple[float, np.ndarray]:
         """(mean loss, gradient) over the valid places."""
@@ -223,18 +231,20 @@ class Attention:
         b, w = rows.shape
         d, scale = WIDTH, np.float32(WIDTH**-0.5)
         # what follows attention is needed at valid places only
-        pick = slice(None) if valid.all() else np.flatnonzero(valid)
+        whole = bool(valid.all())
+        pick = slice(None) if whole else np.flatnonzero(valid)
         x = self.e[rows]
         x += self.p
         x = x.reshape(-1, d)
-        q, v = ((x @ m).reshape(b, w, d) for m in (self.q * scale, self.v))
-        kt = self.k.T @ x.reshape(b, w, d).transpose(0, 2, 1)
-        a = q @ kt
-        np.minimum(a, 60, out=a)
-        np.exp(a, out=a)
+        joined = np.concatenate([self.q * scale, self.k, self.v], 1)
+        qkv = (x @ joined).reshape(b, w, 3 * d)
+        q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
+        a = q @ k.transpose(0, 2, 1)
+        _exp(a)
         a *= self.MASK
-        a *= (1 / (a.reshape(-1, w) @ np.ones(w, np.float32))).reshape(b, w, 1)
-        y = (a @ v).reshape(-1, d)[pick]
+        a *= (1 / (a.reshape(-1, w) @ ONES[:w])).reshape(b, w, 1)
+        seen = (a @ v).reshape(-1, d)
+        y = seen[pick]
         n = len(y)
         h1 = y @ self.o
         h1 += x[pick]
@@ -245,14 +255,12 @@ class Attention:
         h2 += h1
         p = h2 @ self.u
         p += self.c
-        np.minimum(p, 60, out=p)
-        np.exp(p, out=p)
-        p *= (1 / (p @ np.ones(CLASSES, np.float32)))[:, None]
+        _exp(p)
+        total, share = p @ ONES[:CLASSES], np.float32(1 / max(1, n))
         at = np.arange(0, n * CLASSES, CLASSES) + target.ravel()[pick]
-        own = p.ravel()[at]
-        loss = float(-np.log(own + 1e-12).sum() / max(1, n))
-        p.ravel()[at] = own - 1
-        p *= np.float32(1 / max(1, n))
+        loss = float(-np.log(p.ravel()[at] / total + 1e-12).sum() * share)
+        p *= (share / total)[:, None]
+        p.ravel()[at] -= share
         sums = np.ones(n, np.float32)
         G["u"][:], G["c"][:] = h2.T @ p, sums @ p
         dh = p @ self.u.T
@@ -263,20 +271,23 @@ class Attention:
         dh += dz @ self.a.T
         G["o"][:] = y.T @ dh
         dy = dh @ self.o.T
-        if not isinstance(pick, slice):
+        if not whole:
             dy, some = np.zeros((b * w, d), np.float32), dy
             dy[pick] = some
+        # the softmax's own term, from the sums that it gave
+        own = np.einsum("ij,ij->i", dy, seen).reshape(b, w, 1)
         dy = dy.reshape(b, w, d)
-        dv = (a.transpose(0, 2, 1) @ dy).reshape(-1, d)
+        back = np.empty((b, w, 3 * d), np.float32)
+        back[..., 2 * d :] = a.transpose(0, 2, 1) @ dy
         ds = dy @ v.transpose(0, 2, 1)
+        ds -= own
         ds *= a
-        ds -= a * (ds.reshape(-1, w) @ np.ones(w, np.float32)).reshape(b, w, 1)
-        dq, dk = (ds @ np.ascontiguousarray(kt.transpose(0, 2, 1))).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
-        dq *= scale
-        G["q"][:], G["k"][:], G["v"][:] = x.T @ dq, x.T @ dk, x.T @ dv
-        dx = dq @ self.q.T
-        dx += dk @ self.k.T
-        dx += dv @ self.v.T
+        back[..., :d] = ds @ k
+        back[..., d : 2 * d] = ds.transpose(0, 2, 1) @ q
+        back = back.reshape(-1, 3 * d)
+        grad = x.T @ back
+        G["q"][:], G["k"][:], G["v"][:] = grad[:, :d] * scale, grad[:, d : 2 * d], grad[:, 2 * d :]
+        dx = back @ joined.T
         dx[pick] += dh
         G["p"][:] = dx.reshape(b, w, d).sum(0)
         _add_rows(G["e"], rows.ravel(), dx)
