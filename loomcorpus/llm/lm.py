@@ -51,7 +51,7 @@ ROUNDS = ((1, 0.01), (3, 0.004), (12, 0.002))
 #: Tokens whose windows are shuffled together in training.
 SHUFFLED = 1 << 18
 #: Windows of a scoring batch and of a training step.
-BATCH, STEP = 512, 128
+BATCH, STEP = 128, 128
 #: Parameters of a part of a copy, and branches of the tree in which copies are averaged.
 PART, BRANCHES = 1 << 14, 64
 #: Sentence hashes of a bucket, about.
