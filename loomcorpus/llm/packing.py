@@ -313,7 +313,9 @@ def packed(docs: DataFrame, window: int = WINDOW, sentence_cut: int = SENTENCE_C
             cuts, _ = settled(place, penalty, window)
         at = place[cuts].tolist()
         done = windows_of(pdf, pieces(lengths, at), start + at[0])
-        return frame([*rest(pdf, number, 0, at[0]), *done, *rest(pdf, number + 1, at[-1], total)])
+        # the next text begins where this stretch's last one ends, which may be some stretches further on
+        after = number + 1 if start + total == whole else (start + total) // stretch
+        return frame([*rest(pdf, number, 0, at[0]), *done, *rest(pdf, after, at[-1], total)])
 
     def second_pass(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at").reset_index(drop=True)

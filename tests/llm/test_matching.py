@@ -454,7 +454,8 @@ def _stream_of(rows):
 @pytest.mark.parametrize("ids", ["dense", "sparse", "text", "null"])
 def test_packed_equals_one_programme_whatever_the_ids(spark, ids):
     rng = random.Random(7)
-    texts = [". ".join(" ".join(["w"] * rng.randint(1, 9)) for _ in range(rng.randint(1, 6))) for _ in range(240)] + ["w " * 150]
+    texts = [". ".join(" ".join(["w"] * rng.randint(1, 9)) for _ in range(rng.randint(1, 6))) for _ in range(240)]
+    texts[100:100] = ["w " * 150, ". ".join(" ".join(["w"] * rng.randint(1, 9)) for _ in range(700))]  # one that spans stretches
     make = {"dense": lambda k: k, "sparse": lambda k: k * 100_003, "text": lambda k: f"id{k:05d}", "null": lambda k: None}[ids]
     docs = spark.createDataFrame([(make(k), t) for k, t in enumerate(texts)], f"doc_id {'string' if ids == 'text' else 'long'}, text string")
     at, lens = packing.sentence_lengths(pa.array(texts))
