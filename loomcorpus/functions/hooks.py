@@ -75,3 +75,19 @@ def stemmed(word: Column, language: Column) -> Column:
         return out
 
     return run(word, language)
+
+
+def after_page(entries: Column, load: Callable[[], Callable[[list[str]], list[str | None]]]) -> Column:
+    """What a hook makes of each page's entry, JSON to JSON; null entries aren't given to it, and null is its answer for no result."""
+    hook: list[Callable[[list[str]], list[str | None]]] = []
+
+    @F.pandas_udf(T.StringType())
+    def run(batch: pd.Series) -> pd.Series:
+        if not hook:
+            hook.append(load())
+        out, some = batch.copy(), batch.notna()
+        if some.any():
+            out[some] = hook[0](batch[some].tolist())
+        return out
+
+    return run(entries)

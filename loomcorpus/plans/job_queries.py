@@ -232,3 +232,18 @@ def template_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     rows = values(spark, _CELLS, "id int, a double, b double, t string")
     return rows.select("id", F.round(templates.ratio(a, b), 6).alias("ratio"), (a + b).cast("int").alias("total"), (a - b).cast("int").alias("difference"), templates.cut(F.col("t"), 8).alias("cut"))
+
+
+def _upper_titles():  # noqa: ANN202
+    import json
+
+    return lambda entries: [json.dumps({"title": t.upper()}) if (t := json.loads(e).get("title")) else None for e in entries]
+
+
+_PAGES = [(1, '{"title": "one"}'), (2, '{"title": ""}'), (3, "{}"), (4, None)]
+
+
+@register("after_page_hook", f"SELECT id, CASE WHEN coalesce(entry::JSON->>'$.title', '') <> '' THEN '{{\"title\": \"' || upper(entry::JSON->>'$.title') || '\"}}' END AS result FROM {sql_values(_PAGES, 'id, entry')}")
+def after_page_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hook that is given each crawled page's entry."""
+    return values(spark, _PAGES, "id int, entry string").select("id", hooks.after_page(F.col("entry"), _upper_titles).alias("result"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stem
+from ..functions import hooks
 from ..functions import text as T
 from ..functions.lexicon import STOP_WORDS
 from ..operators import search as S
@@ -317,6 +317,6 @@ def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stem_english")
 def stem_english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The English stem of every distinct token."""
-    words = read(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
-    return words.select("token", stem.stem("token").alias("stem"))
+    """The stem of every distinct token of each language: English ones by Porter2, others as they are unless a stemmer is plugged in."""
+    words = read(spark, sf_dir, "documents").select("lang", F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
+    return words.select("lang", "token", hooks.stemmed(F.col("token"), F.col("lang")).alias("stem"))

@@ -181,3 +181,11 @@ def test_index_counts_like_a_loop(spark):
     for prefixes in (["thing"], ["thing ni", "y"], ["nope"], []):
         some = {(r.page_id, r.phrase): r.occurrences for r in search.postings(pages_, prefixes).collect()}
         assert some == {k: v for k, v in want.items() if any(k[1].startswith(p) for p in prefixes)}
+
+
+def test_stems_of_all_tokens_equal_a_loop(spark):
+    from loomcorpus.functions import stem
+
+    rows = registry.queries()["stem_english"](spark, SF).collect()
+    assert len({r.lang for r in rows}) == 4 and len({(r.lang, r.token) for r in rows}) == len(rows)
+    assert all(r.stem == (stem.porter2(r.token) if r.lang == "en" else r.token) for r in rows)
