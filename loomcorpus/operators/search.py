@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..functions import text as T
-from ..shared import materialise
+from ..shared import materialise, small
 
 
 #: Pages whose n-grams are in memory at once.
@@ -175,7 +175,7 @@ def search(pages: DataFrame, jobs: DataFrame, words: list[str], limit: int | Non
     rows = scored(materialise(found, "matches"), live.agg(F.count("*").alias("n")), ngrams)
     result = materialise(page_level(rows, ngrams), "result")
     top = result.agg(F.max("total").alias("top"))
-    out = result.crossJoin(F.broadcast(top)).join(jobs.select(F.col("id").alias("crawl_job_id"), "domain"), "crawl_job_id", "left")
+    out = result.crossJoin(F.broadcast(top)).join(small(jobs.select(F.col("id").alias("crawl_job_id"), "domain")), "crawl_job_id", "left")
     out = out.select(
         "url",
         F.coalesce("domain", F.lit("")).alias("domain"),

@@ -9,7 +9,7 @@ from ..functions import hooks
 from ..functions import text as T
 from ..functions.lexicon import STOP_WORDS
 from ..operators import search as S
-from ..shared import materialise
+from ..shared import materialise, small
 from ..tables import JOBS_SQL, PAGES_SQL, crawl_jobs, crawled_pages, read, sql_values, values
 from .registry import register
 
@@ -60,14 +60,14 @@ _MANUAL_SCHEMA = "id long, phrase string, is_active boolean"
 @register("word_index", f"WITH {PAGES_SQL}, {TOKENS_SQL}, g AS (SELECT page_id, url, crawl_job_id, unnest({grams_sql('toks')}) AS phrase FROM tokens_) SELECT page_id, url, crawl_job_id, phrase, count(*)::INTEGER AS occurrences, 'content' AS match_type FROM g WHERE phrase NOT IN (SELECT phrase FROM {_MANUAL_SQL}) GROUP BY ALL")
 def word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     manual = values(spark, MANUAL, _MANUAL_SCHEMA)
-    rows = S.postings(crawled_pages(spark, sf_dir)).join(manual, "phrase", "left_anti")
+    rows = S.postings(crawled_pages(spark, sf_dir)).join(small(manual), "phrase", "left_anti")
     return rows.select("page_id", "url", "crawl_job_id", "phrase", "occurrences", "match_type")
 
 
 @register("new_phrases", f"WITH {PAGES_SQL}, {TOKENS_SQL}, g AS (SELECT DISTINCT unnest(toks) AS phrase FROM tokens_) SELECT phrase FROM g EXCEPT SELECT phrase FROM {_MANUAL_SQL}")
 def new_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = crawled_pages(spark, sf_dir).select(F.explode(T.tokens(F.col("text_content"))).alias("phrase")).distinct()
-    return words.join(values(spark, MANUAL, _MANUAL_SCHEMA), "phrase", "left_anti")
+    return words.join(small(values(spark, MANUAL, _MANUAL_SCHEMA)), "phrase", "left_anti")
 
 
 @register("phrase_df", f"{_BASE} SELECT phrase, count(DISTINCT page_id) AS df FROM postings_ GROUP BY phrase")

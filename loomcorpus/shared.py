@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
@@ -27,6 +28,15 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
 
 
+#: Rows of a table that may be broadcast.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df, marked for a broadcast join if it is counted to have at most so many rows; otherwise as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet under the shared folder and reads it back: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
