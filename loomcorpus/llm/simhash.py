@@ -13,8 +13,7 @@ of at most RATIO. Equal fingerprints are one node; only nodes are compared.
 * The tree's upper levels make shards of about SHARD nodes, whatever the band's size; they are laid out on the driver from at most SAMPLE
   nodes of the band (where the boundaries lie changes costs, never results). A shard's queries are cut into parts of about as many, and
   each (band, shard, part) is a task. Within it the tree goes on down to LEAF nodes.
-* In a leaf, nodes lie sorted by feature count; blocks of queries meet only their window, and the second 64-bit word
-  is compared only where the first left the pair possible.
+* In a leaf, nodes lie sorted by feature count, and blocks of queries meet only their window.
 
 Every pair within the radius is seen once, counted for both its nodes, and kept as an edge if it joins two trees of the task's
 forest; edges give the connected components. See the README for how much triangle bounds prune at this radius.
@@ -33,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import Words, column, discard, field, materialise, mix, numbered, tune
 
 RADIUS, RATIO = 24, 1.25
+#: Pairs of a block, which stay in the cache.
+BLOCK = 1 << 16
 #: Nodes of a shard and queries of a part, about; nodes of a leaf; nodes of a band that its upper levels are laid out from.
-SHARD, LEAF, SAMPLE = 1 << 17, 512, 4096
+SHARD, LEAF, SAMPLE = 1 << 17, 1024, 4096
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,24 +207,32 @@ def leaf_pairs(h: np.ndarray, n: np.ndarray, qh: np.ndarray, qn: np.ndarray, rad
     if not len(h) or not len(qh):
         return
     h1, h2 = np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])
+    q1, q2 = np.ascontiguousarray(qh[:, 0])[:, None], np.ascontiguousarray(qh[:, 1])[:, None]
     lows, highs = np.searchsorted(n, qn / ratio - 1e-9), np.searchsorted(n, qn * ratio + 1e-9, "right")
+    words, first, second = np.empty(max(BLOCK, len(h)), np.uint64), *(np.empty(max(BLOCK, len(h)), np.uint8) for _ in range(2))
     a = 0
     while a < len(qh):
         lo = int(lows[a])
         # as many queries as fit: their windows overlap, since they are sorted
-        b = a + max(1, min(len(qh) - a, (1 << 17) // max(1, int(highs[a]) - lo)))
+        b = a + max(1, min(len(qh) - a, BLOCK // max(1, int(highs[a]) - lo)))
+        while b > a + 1 and (b - a) * (int(highs[b - 1]) - lo) > len(words):
+            b -= 1
         hi = int(highs[b - 1])
         if lo < hi:
-            q, m = qh[a:b], qn[a:b]
-            d1 = np.bitwise_count(h1[lo:hi] ^ q[:, :1])
+            size = (b - a) * (hi - lo)
+            x, d1, d2 = (v[:size].reshape(b - a, -1) for v in (words, first, second))
+            np.bitwise_count(np.bitwise_xor(h1[lo:hi], q1[a:b], out=x), out=d1)
+            np.bitwise_count(np.bitwise_xor(h2[lo:hi], q2[a:b], out=x), out=d2)
+            d1 += d2
             if stats is not None:
-                stats["distances"] = stats.get("distances", 0) + d1.size
-            i, j = np.divmod(np.flatnonzero(d1 <= radius), hi - lo)
-            d = d1[i, j].astype(np.int64) + np.bitwise_count(q[i, 1] ^ h2[lo + j])
-            big, small = np.maximum(m[i], n[lo + j]), np.minimum(m[i], n[lo + j])
-            ok = (d <= radius) & (big <= small * ratio + 1e-9)
-            if ok.any():
-                yield a + i[ok], lo + j[ok], d[ok]
+                stats["distances"] = stats.get("distances", 0) + size
+            if d1.min() <= radius:
+                i, j = np.divmod(np.flatnonzero(first[:size] <= radius), hi - lo)
+                d, m = d1[i, j].astype(np.int64), qn[a:b]
+                big, small = np.maximum(m[i], n[lo + j]), np.minimum(m[i], n[lo + j])
+                ok = big <= small * ratio + 1e-9
+                if ok.any():
+                    yield a + i[ok], lo + j[ok], d[ok]
         a = b
 
 
