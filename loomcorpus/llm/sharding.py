@@ -131,10 +131,10 @@ def boundaries(sizes: DataFrame, target: int = TARGET, overfull: float = OVERFUL
     target = max(target, -(-total // max_shards))
     bounds = _first_bounds(sizes, target / OVERSAMPLE, max(1, -(-total // target)))
     salt, step = 0, target / OVERSAMPLE
-    least, most = F.min(F.struct("_key", "_id")), F.max(F.struct("_key", "_id"))
+    h = F.xxhash64("_key", "_id")  # numbers, so that the sums below need no sort
     while True:
-        # nulls compare as least, so two ends differ if and only if the range can be divided
-        measured = _ranges(sizes, Bounds(bounds), "_range").groupBy("_range").agg(F.sum("_size").alias("s"), (~least.eqNullSafe(most)).alias("mixed"))
+        # a range can be divided if its records differ, that is if not all their hashes are one
+        measured = _ranges(sizes, Bounds(bounds), "_range").groupBy("_range").agg(F.sum("_size").alias("s"), (F.min(h) < F.max(h)).alias("mixed"))
         big = {r["_range"]: r.s for r in measured.filter(F.col("mixed") & (F.col("s") > overfull * target)).collect()}
         if not big:
             return bounds
