@@ -150,18 +150,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
     """Fits the machine on at most sample_rows labelled rows, those with the smallest hashes of their ids.
 
     Rows of labels with a null id or quality are left out, as are labelled documents without text; with none left, or of one class
-    only, the machine is neutral (every score about 0.5). Repeated rows count each.
+    only, the machine is neutral (every score about 0.5). Of rows that repeat an id one counts for each label it has, the one whose text has
+    the smallest hash, so however often an id occurs no more than sample_rows rows reach the driver.
     """
-    chosen = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IS NOT NULL").orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
+    chosen = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
     # the sample is bounded by sample_rows, so it may be broadcast whatever the size of the tables
-    rows = docs.select(F.col("doc_id").alias("_id"), column(docs, "text", "string").alias("text"), column(docs, "lang", "string").alias("lang"), column(docs, "source", "string").alias("source")).join(F.broadcast(chosen), "_id").filter("text IS NOT NULL")
+    rows = docs.select(F.col("doc_id").alias("_id"), column(docs, "text", "string").alias("text"), column(docs, "lang", "string").alias("lang"), column(docs, "source", "string").alias("source")).join(F.broadcast(chosen), "_id").filter("text IS NOT NULL").withColumn("_h", F.xxhash64("text", "lang", "source"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, idx, val, _ = features(b["text"], b["lang"], b["source"])
-            yield pa.record_batch({"id": b["_id"], "y": b["_y"], "idx": pa.ListArray.from_arrays(at.astype(np.int32), idx.astype(np.int32)), "val": pa.ListArray.from_arrays(at.astype(np.int32), val)})
+            yield pa.record_batch({"id": b["_id"], "y": b["_y"], "h": b["_h"], "idx": pa.ListArray.from_arrays(at.astype(np.int32), idx.astype(np.int32)), "val": pa.ListArray.from_arrays(at.astype(np.int32), val)})
 
-    table = rows.mapInArrow(extract, "id long, y int, idx array<int>, val array<float>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    each = rows.mapInArrow(extract, "id long, y int, h long, idx array<int>, val array<float>")
+    table = each.groupBy("id", "y").agg(F.min_by(F.struct("idx", "val"), "h").alias("x")).select("id", "y", "x.idx", "x.val").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     model = Machine(seed)
     if not table.num_rows or len(set(table["y"].to_pylist())) < 2:
         return model

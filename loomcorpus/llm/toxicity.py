@@ -205,24 +205,26 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pa
     """Fits on at most sample_rows labelled rows, those with the smallest hashes of their ids; half of them toxic where there are enough.
 
     Rows of labels with a null id or label are left out, as are labelled documents without text; without both classes the model scores
-    everything alike. Repeated rows count each.
+    everything alike. Of rows that repeat an id one counts for each label it has, the one whose text has the smallest hash, so however often
+    an id occurs no more than sample_rows rows reach the driver.
     """
-    rows = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IS NOT NULL")
+    rows = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IS NOT NULL").distinct()
     half = sample_rows // 2
     chosen = rows.filter("_y > 0").orderBy(F.xxhash64("_id"), "_id").limit(half).unionByName(rows.filter("_y <= 0").orderBy(F.xxhash64("_id"), "_id").limit(half))
     # the sample is bounded by sample_rows, so it may be broadcast whatever the size of the tables
-    texts = docs.select(F.col("doc_id").alias("_id"), column(docs, "text", "string").alias("text")).join(F.broadcast(chosen), "_id").filter("text IS NOT NULL")
+    texts = docs.select(F.col("doc_id").alias("_id"), column(docs, "text", "string").alias("text")).join(F.broadcast(chosen), "_id").filter("text IS NOT NULL").withColumn("_h", F.xxhash64("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f, s, doc = sentences(b["text"])
             at = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
             changed = [[{"lost": lost, "gained": gained, "times": k} for (lost, gained), k in c.items()] for c in swaps(b["text"])]
-            yield pa.record_batch({"id": b["_id"], "y": b["_y"], "f": pa.ListArray.from_arrays(at, f.astype(np.int32)), "s": pa.ListArray.from_arrays(at, s.astype(np.int32)), "swaps": pa.array(changed, kind)})
+            yield pa.record_batch({"id": b["_id"], "y": b["_y"], "h": b["_h"], "f": pa.ListArray.from_arrays(at, f.astype(np.int32)), "s": pa.ListArray.from_arrays(at, s.astype(np.int32)), "swaps": pa.array(changed, kind)})
 
     kind = pa.list_(pa.struct([("lost", pa.list_(pa.int32())), ("gained", pa.list_(pa.int32())), ("times", pa.int32())]))
     # of each sampled row eight bytes for each distinct word of a sentence, and a few for each swap
-    table = texts.mapInArrow(extract, "id long, y int, f array<int>, s array<int>, swaps array<struct<lost: array<int>, gained: array<int>, times: int>>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    each = texts.mapInArrow(extract, "id long, y int, h long, f array<int>, s array<int>, swaps array<struct<lost: array<int>, gained: array<int>, times: int>>")
+    table = each.groupBy("id", "y").agg(F.min_by(F.struct("f", "s", "swaps"), "h").alias("x")).select("id", "y", "x.f", "x.s", "x.swaps").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     y = table["y"].to_numpy().clip(0, 1).astype(np.float64) if table.num_rows else np.zeros(0)
     if len(set(y.tolist())) < 2:
         return Model()

@@ -322,3 +322,21 @@ def test_more_documents_make_a_better_model(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     loss = lambda rounds: -lm.score(docs, rounds=rounds).selectExpr("sum(log_prob) / sum(n_tokens)").first()[0]
     assert loss(lm.ROUNDS) < loss(((1, 0.01),)) - 0.1
+
+
+@pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_training_rows_are_bounded_however_often_an_id_occurs(spark, monkeypatch, module, label):
+    texts = [(k, f"{'calm plain' if k % 2 else 'awful nasty'} words number {k}. The woman spoke.", "en", "a") for k in range(40)]
+    hot = [(k % 40, f"calm plain words again {k}.", "en", "a") for k in range(400)]  # any sample holds repeated ids
+    schema = "doc_id long, text string, lang string, source string"
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] * 3, f"doc_id long, {label} int")
+    rows = []
+    kind = quality.Machine if module is quality else toxicity.Model
+    fit = kind.fit
+    at = 3  # where fit takes the labels, after itself
+    monkeypatch.setattr(kind, "fit", lambda *a, **k: rows.append(a[at + 1]) or fit(*a, **k))
+    weights = []
+    for some in (texts + hot, (texts + hot) * 2):
+        weights.append(module.train(spark.createDataFrame(some, schema), labels, sample_rows=20).w)
+    assert [len(y) <= 20 and len(set(y.tolist())) == 2 for y in rows] == [True, True]
+    assert np.array_equal(*weights)
