@@ -16,7 +16,8 @@ but for a constant; there all best packings have gone through one cut. What lies
 stretch is packed for good; what is left, a few windows around each seam, is packed in a second pass from the last such cut of one
 stretch to the first of the next. The result costs what one programme over the whole stream does. In a stretch where the runs
 never agree (as may be in texts of equal sentences that no document's end breaks) the stretch's first full window is
-the seam's end, which costs at most one window more.
+the seam's end, which costs at most one window more. The last stretch may be too short for its runs to agree; then it all belongs
+to the seam before it.
 """
 
 from __future__ import annotations
@@ -137,9 +138,9 @@ def settled(place: np.ndarray, penalty: np.ndarray, window: int) -> tuple[list[i
     end = int(np.searchsorted(place, place[-1] - window, "left"))  # and one from here on
     reach = np.searchsorted(place, place - window, "left")  # the first cut from which each can be reached
     far = np.int64(1) << 50
+    first_window = max(1, min(m - 1, int(np.searchsorted(place, place[0] + window, "right")) - 1))
     rows: list[np.ndarray | None] = []  # cost + place of each cut, for each run; runs that agree go on as one
     backs: list[np.ndarray] = []
-    block = None
     meet = max(1, min(MEET, m // 64))
     # least of rows[low:i], the earliest of equal ones: least of each rows[k:turn], and of rows[turn:i]
     turn, before = 0, {}
@@ -178,8 +179,7 @@ def settled(place: np.ndarray, penalty: np.ndarray, window: int) -> tuple[list[i
                 rows[low:] = [r[some] for r in rows[low:]]
                 before = {k: (v[some], at[some]) for k, (v, at) in before.items() if k >= low}
                 since, since_at = since[some], since_at[some]
-    first_window = max(1, min(m - 1, int(np.searchsorted(place, place[0] + window, "right")) - 1))
-    if block is None:
+    else:  # the stretch ends before the runs are few
         return [first_window], False
     # the few runs that are left go on one by one to the end
     low, last = int(reach[i]), i
@@ -310,7 +310,10 @@ def packed(docs: DataFrame, window: int = WINDOW, sentence_cut: int = SENTENCE_C
                 path.append(back[path[-1]])
             cuts = path[::-1]
         else:
-            cuts, _ = settled(place, penalty, window)
+            cuts, sure = settled(place, penalty, window)
+            if not sure and start + total == whole:
+                # the last stretch, which may be short: it goes to the seam before it, so that no cut is forced
+                return frame(rest(pdf, number, 0, total))
         at = place[cuts].tolist()
         done = windows_of(pdf, pieces(lengths, at), start + at[0])
         # the next text begins where this stretch's last one ends, which may be some stretches further on

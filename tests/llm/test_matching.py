@@ -477,6 +477,32 @@ def test_packed_equals_one_programme_whatever_the_ids(spark, ids):
         assert cost(firsts) == best if stretch > 150 else best <= cost(firsts) <= best + 24 * (sum(sizes) // 150)
 
 
+def test_a_stretch_too_short_for_its_runs_to_become_few():
+    rng = np.random.default_rng(5)
+    for sentences in range(200, 230):  # whether a meeting of the runs falls on the last cut or not
+        place, penalty = packing.cuts_of([rng.integers(1, 10, sentences)], 300, 3, 8)
+        cuts, sure = packing.settled(place, penalty, 300)
+        assert not sure and len(cuts) == 1 and 0 < place[cuts[0]] <= 300
+
+
+def test_a_short_last_stretch_is_packed_as_one_programme_does(spark):
+    rng = random.Random(4)
+    texts = [". ".join(" ".join(["w"] * rng.randint(1, 9)) for _ in range(rng.randint(1, 40))) for _ in range(150)]
+    at, lens = packing.sentence_lengths(pa.array(texts))
+    lengths = [lens[at[k] : at[k + 1]] for k in range(len(texts))]
+    place = np.cumsum([0, *(int(x.sum()) for x in lengths)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = [(sum(b - a for _, a, b in part), [d for d, _, _ in part]) for part in packing.pack(lengths, 300, 3, 8)]
+    ends, inner = set(place.tolist()), set(np.cumsum(lens).tolist())
+    cost = lambda sizes: sum(300 - n + (0 if e in ends else 3 if e in inner else 8) for n, e in zip(sizes, np.cumsum(sizes).tolist()))
+    for back in (8, 9, 10, 11, 12):  # so many documents are in the last stretch
+        stretch = int(place[-1 - back])
+        assert packing.cuts_of(lengths[-back:], 300, 3, 8)[0].size > 128  # runs don't meet at each cut
+        rows = sorted(packing.packed(docs, 300, 3, 8, stretch=stretch).collect(), key=lambda r: r.first_word)
+        assert _stream_of(rows) == [(d, w) for d, x in enumerate(lengths) for w in range(int(x.sum()))]
+        assert cost([r.n_words for r in rows]) == cost([n for n, _ in whole])
+
+
 def test_packing_odd_rows(spark):
     docs = docs_of(spark, [None, " \n", "a b. c", "a b. c", "w " * 5000, "null id", None], [0, 1, 2, 2, 4, None, None]).withColumn("stretch", common.F.lit("x")).withColumn("padding", common.F.lit("x")).withColumn("a.b", common.F.lit("x"))
     for stretch in (3, 1000, packing.STRETCH):
