@@ -24,6 +24,7 @@ so a document that stands in the corpus twice is predicted from its copy, and a
 from __future__ import annotations
 
 import base64
+import math
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -100,7 +101,16 @@ class _Known(dict):
 
 #: Words whose ids a worker remembers, about 200 bytes each; beyond it the memory starts anew.
 REMEMBERED = 120_000
-_known: dict[str, tuple[_Known, np.ndarray]] = {}
+_known: dict[str, _Known] = {}
+
+
+@lru_cache(4)
+def begins_spaced(path: str) -> np.ndarray:
+    """For each id whether its bytes begin with a space."""
+    ranks = encoder(path)._mergeable_ranks
+    out = np.zeros(max(ranks.values()) + 1, bool)
+    out[[i for b, i in ranks.items() if b[:1] == b" "]] = True
+    return out
 
 
 def encode(texts: list[str], path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +120,9 @@ def encode(texts: list[str], path: str = VOCABULARY) -> tuple[np.ndarray, np.nda
     white space precedes a space are encoded as a whole.
     """
     enc = encoder(path)
-    if path not in _known or len(_known[path][0]) > REMEMBERED:
-        spaced = np.zeros(max(enc._mergeable_ranks.values()) + 1, bool)
-        spaced[[i for b, i in enc._mergeable_ranks.items() if b[:1] == b" "]] = True
-        _known[path] = _Known(), spaced
-    known, spaced = _known[path]
+    if path not in _known or len(_known[path]) > REMEMBERED:
+        _known[path] = _Known()
+    known = _known[path]
     heads, tails, at = [], [], [0]
     for t in texts:
         parts = t.split(" ")
@@ -123,7 +131,7 @@ def encode(texts: list[str], path: str = VOCABULARY) -> tuple[np.ndarray, np.nda
         at.append(len(tails))
     codes = np.fromiter(map(known.__getitem__, tails), np.int32, len(tails))
     if known.new:
-        known.learn(enc, spaced)
+        known.learn(enc, begins_spaced(path))
     lens = known.lens[codes]
     flat = known.flat[np.repeat(known.start[codes] - np.cumsum(lens, dtype=np.int64) + lens, lens) + np.arange(lens.sum())]
     cut = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])[at]
@@ -166,6 +174,8 @@ def windows(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 ONES = np.ones(max(WINDOW, CLASSES), np.float32)
+#: Rows of a matrix product that are taken at once: BLAS multiplies small matrices as they lie, large ones it copies first.
+TALL = 512
 #: Exponents are cut off here, so that their sums stay finite.
 LARGEST = np.float32(60)
 
@@ -177,6 +187,27 @@ def _exp(x: np.ndarray) -> None:
     np.exp(x, out=x)
 
 
+def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w for many rows and a small w, by blocks of rows."""
+    n, k = len(x), len(x) // TALL * TALL
+    out = np.empty((n, w.shape[1]), np.float32)
+    w = np.ascontiguousarray(w)
+    np.matmul(x[:k].reshape(-1, TALL, x.shape[1]), w, out=out[:k].reshape(-1, TALL, w.shape[1]))
+    np.matmul(x[k:], w, out=out[k:])
+    return out
+
+
+def cross(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y for many rows, as a sum over blocks of rows."""
+    k = len(x) // TALL * TALL
+    return (x[:k].reshape(-1, TALL, x.shape[1]).transpose(0, 2, 1) @ y[:k].reshape(-1, TALL, y.shape[1])).sum(0) + x[k:].T @ y[k:]
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    """Each matrix of x transposed, in memory too."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
 class Attention:
     """The parameters in one vector, named views on it, and forward and backward passes."""
 
@@ -195,7 +226,7 @@ class Attention:
     def views(cls, flat: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
         for name, shape in cls.SHAPES.items():
-            n = int(np.prod(shape))
+            n = math.prod(shape)
             out[name], at = flat[at : at + n].reshape(shape), at + n
         return out
 
@@ -203,22 +234,22 @@ class Attention:
         """log p(class) at each place after the first `skip`; target is given for these places only."""
         b, w = rows.shape
         d, n = WIDTH, b * (w - skip)
-        x = self.e[rows]
+        x = self.e.take(rows, 0)
         x += self.p
-        kv = (x.reshape(-1, d) @ np.concatenate([self.k, self.v], 1)).reshape(b, w, 2 * d)
+        kv = times(x.reshape(-1, d), np.concatenate([self.k, self.v], 1)).reshape(b, w, 2 * d)
         x = np.ascontiguousarray(x[:, skip:]).reshape(n, d)
-        s = (x @ (self.q * np.float32(d**-0.5))).reshape(b, w - skip, d) @ kv[..., :d].transpose(0, 2, 1)
+        s = times(x, self.q * np.float32(d**-0.5)).reshape(b, w - skip, d) @ turned(kv[..., :d])
         _exp(s)
         s *= self.MASK[skip:]
         y = (s @ kv[..., d:]).reshape(n, d)
         y *= (1 / (s.reshape(n, w) @ ONES[:w]))[:, None]
-        h = y @ self.o
+        h = times(y, self.o)
         h += x
-        z = h @ self.a
+        z = times(h, self.a)
         z += self.ab
         np.maximum(z, 0, out=z)
-        h += z @ self.b
-        out = h @ self.u
+        h += times(z, self.b)
+        out = times(h, self.u)
         out += self.c
         own = np.minimum(out.ravel()[np.arange(0, n * CLASSES, CLASSES) + target.ravel()], LARGEST)
         _exp(out)
@@ -233,27 +264,27 @@ class Attention:
         # what follows attention is needed at valid places only
         whole = bool(valid.all())
         pick = slice(None) if whole else np.flatnonzero(valid)
-        x = self.e[rows]
+        x = self.e.take(rows, 0)
         x += self.p
         x = x.reshape(-1, d)
-        joined = np.concatenate([self.q * scale, self.k, self.v], 1)
-        qkv = (x @ joined).reshape(b, w, 3 * d)
-        q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
-        a = q @ k.transpose(0, 2, 1)
+        q, k, v = (times(x, y).reshape(b, w, d) for y in (self.q * scale, self.k, self.v))
+        a = q @ turned(k)
         _exp(a)
         a *= self.MASK
-        a *= (1 / (a.reshape(-1, w) @ ONES[:w])).reshape(b, w, 1)
+        # the weights are divided by their sums after the products, which are narrower than they
+        one_by = (1 / (a.reshape(-1, w) @ ONES[:w]))[:, None]
         seen = (a @ v).reshape(-1, d)
+        seen *= one_by
         y = seen[pick]
         n = len(y)
-        h1 = y @ self.o
+        h1 = times(y, self.o)
         h1 += x[pick]
-        z = h1 @ self.a
+        z = times(h1, self.a)
         z += self.ab
         np.maximum(z, 0, out=z)
-        h2 = z @ self.b
+        h2 = times(z, self.b)
         h2 += h1
-        p = h2 @ self.u
+        p = times(h2, self.u)
         p += self.c
         _exp(p)
         total, share = p @ ONES[:CLASSES], np.float32(1 / max(1, n))
@@ -262,32 +293,31 @@ class Attention:
         p *= (share / total)[:, None]
         p.ravel()[at] -= share
         sums = np.ones(n, np.float32)
-        G["u"][:], G["c"][:] = h2.T @ p, sums @ p
-        dh = p @ self.u.T
-        G["b"][:] = z.T @ dh
-        dz = dh @ self.b.T
+        G["u"][:], G["c"][:] = cross(h2, p), sums @ p
+        dh = times(p, self.u.T)
+        G["b"][:] = cross(z, dh)
+        dz = times(dh, self.b.T)
         dz *= z > 0
-        G["a"][:], G["ab"][:] = h1.T @ dz, sums @ dz
-        dh += dz @ self.a.T
-        G["o"][:] = y.T @ dh
-        dy = dh @ self.o.T
+        G["a"][:], G["ab"][:] = cross(h1, dz), sums @ dz
+        dh += times(dz, self.a.T)
+        G["o"][:] = cross(y, dh)
+        dy = times(dh, self.o.T)
         if not whole:
             dy, some = np.zeros((b * w, d), np.float32), dy
             dy[pick] = some
+        dy *= one_by
         # the softmax's own term, from the sums that it gave
         own = np.einsum("ij,ij->i", dy, seen).reshape(b, w, 1)
         dy = dy.reshape(b, w, d)
-        back = np.empty((b, w, 3 * d), np.float32)
-        back[..., 2 * d :] = a.transpose(0, 2, 1) @ dy
-        ds = dy @ v.transpose(0, 2, 1)
+        dv = (a.transpose(0, 2, 1) @ dy).reshape(-1, d)
+        ds = dy @ turned(v)
         ds -= own
         ds *= a
-        back[..., :d] = ds @ k
-        back[..., d : 2 * d] = ds.transpose(0, 2, 1) @ q
-        back = back.reshape(-1, 3 * d)
-        grad = x.T @ back
-        G["q"][:], G["k"][:], G["v"][:] = grad[:, :d] * scale, grad[:, d : 2 * d], grad[:, 2 * d :]
-        dx = back @ joined.T
+        dq, dk = (ds @ k).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
+        G["q"][:], G["k"][:], G["v"][:] = cross(x, dq) * scale, cross(x, dk), cross(x, dv)
+        dx = times(dq, self.q.T * scale)
+        dx += times(dk, self.k.T)
+        dx += times(dv, self.v.T)
         dx[pick] += dh
         G["p"][:] = dx.reshape(b, w, d).sum(0)
         _add_rows(G["e"], rows.ravel(), dx)
@@ -307,19 +337,21 @@ class Attention:
                 pick = order[a : a + batch]
                 loss, g = self.step(rows[pick], target[pick], valid[pick])
                 t += 1
-                m *= 0.9
-                v *= 0.999
-                move = g * g
-                move *= 0.001
-                v += move
-                g *= 0.1
-                m += g
-                np.sqrt(v, out=move)
-                move *= (1 - 0.999**t) ** -0.5
-                move += 1e-8
-                np.divide(m, move, out=move)
-                move *= rate / (1 - 0.9**t)
-                self.flat -= move
+                root = (1 - 0.999**t) ** 0.5
+                for c in range(0, len(g), PART):  # a part stays in the cache
+                    grad, mean, square = (y[c : c + PART] for y in (g, m, v))
+                    move = grad * grad
+                    move *= 0.001
+                    square *= 0.999
+                    square += move
+                    grad *= 0.1
+                    mean *= 0.9
+                    mean += grad
+                    np.sqrt(square, out=move)
+                    move += 1e-8 * root
+                    np.divide(mean, move, out=move)
+                    move *= rate * root / (1 - 0.9**t)
+                    self.flat[c : c + PART] -= move
                 each.append(loss)
             losses.append(float(np.mean(each)) if each else 0.0)
         self.moments = m, v, t
@@ -331,13 +363,7 @@ def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     order = np.argsort(rows.astype(np.int16), kind="stable")  # by radix
     r = rows[order]
     first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    times = np.diff(np.append(first, len(r)))
-    few = times <= 8
-    for k in range(int(times[few].max(initial=0))):  # the k-th of each row that has so many: no row twice
-        some = first[few & (times > k)] + k
-        out[r[some]] += values[order[some]]
-    for a, n in zip(first[~few].tolist(), times[~few].tolist()):
-        out[r[a]] += np.ones(n, np.float32) @ values[order[a : a + n]]
+    out[r[first]] += np.add.reduceat(values.take(order, 0), first, axis=0)
 
 
 def batches_of(ids: np.ndarray, off: np.ndarray, classes: Classes) -> tuple[np.ndarray, ...]:

@@ -226,6 +226,13 @@ def test_lm_gradient():
             assert (a - b) / 2e-2 == pytest.approx(g[i], abs=3e-3, rel=0.05)
 
 
+def test_products_by_blocks_are_the_plain_ones():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, lm.TALL - 1, lm.TALL, 3 * lm.TALL + 5):
+        x, y, w = (rng.normal(size=s).astype(np.float32) for s in ((n, 16), (n, 64), (64, 16)))
+        assert lm.times(x, w.T) == pytest.approx(x @ w.T, abs=1e-4) and lm.cross(x, y) == pytest.approx(x.T @ y, abs=1e-2)
+
+
 def test_rows_are_added_as_by_a_loop():
     rng = np.random.default_rng(1)
     rows = np.concatenate([rng.integers(0, 50, 300), np.repeat(7, 40)])
