@@ -71,37 +71,27 @@ def encoder(path: str):  # noqa: ANN201
     return _encoders[path]
 
 
-class _Known(dict):
-    """Codes of words, given in order of first sight; `new` has the words that have no ids yet."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-        self.lens = np.zeros(0, np.int32)
-        self.start = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
-        self.odd = np.zeros(0, bool)
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = code = len(self)
-        return code
-
-    def learn(self, enc, spaced: np.ndarray) -> None:  # noqa: ANN001
-        """Ids of the new words, each after a space; words that end in white space or are empty are odd and get none."""
-        odd = np.array([not w or w[-1].isspace() for w in self.new], bool)
-        good = [w for w, o in zip(self.new, odd.tolist()) if not o]
-        ids = np.array(enc.encode_ordinary(" " + " ".join(good)) if good else [], np.int32)
-        begin = np.flatnonzero(spaced[ids])  # only a word's first subword begins with a space
-        lens = np.zeros(len(odd), np.int32)
-        lens[~odd] = np.diff(np.append(begin, len(ids)))
-        self.start = np.append(self.start, len(self.flat) + np.cumsum(lens) - lens)
-        self.lens, self.odd, self.flat = np.append(self.lens, lens), np.append(self.odd, odd), np.append(self.flat, ids)
-        self.new = []
-
-
-#: Words whose ids a worker remembers, about 200 bytes each; beyond it the memory starts anew.
-REMEMBERED = 120_000
+class _Known:
+    """Ids of words of up to 24 bytes and 8 ids, in a table of fixed size: a word has one place in it, where the latest stays. Words are compared whole."""
+
+    def __init__(self, dtype: str) -> None:
+        self.key = np.zeros((SLOTS, 4), np.uint64)
+        self.count = np.zeros(SLOTS, np.uint8)
+        self.ids = np.zeros((SLOTS, 8), dtype)
+
+
+#: Words that a worker remembers, at most, 49 bytes each: a power of two.
+SLOTS = 1 << 20
+#: Words that are looked up at once, some 150 bytes each.
+LOOKUP = 1 << 17
 _known: dict[str, _Known] = {}
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: Last bytes of white space, in ASCII and beyond.
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+_WHITE_END = _WHITE.copy()
+_WHITE_END[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
 
 
 @lru_cache(4)
@@ -113,6 +103,85 @@ def begins_spaced(path: str) -> np.ndarray:
     return out
 
 
+def _words(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts and 32 more, where in them each word after a space begins and ends, where each text's words begin)."""
+    each = [t.encode("utf-8", "surrogatepass") for t in texts]
+    blob = b"\n".join([*each, bytes(32)])
+    data = np.frombuffer(blob, np.uint8)
+    off = np.cumsum([0, *(len(x) + 1 for x in each)])
+    space = data == 32
+    space[off[1:] - 1] = True  # a text's end
+    edge = np.flatnonzero(space)
+    opens = np.flatnonzero(data[edge] == 32)
+    start, end = edge[opens] + 1, edge[opens + 1] if len(opens) else edge[:0]
+    return blob, start, end, np.searchsorted(start, off)
+
+
+def _odd(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether words are empty or end in white space."""
+    odd = end == start
+    some = np.flatnonzero(_WHITE_END[data[end - 1]])
+    last, one, two = (data[end[some] - k] for k in (1, 2, 3))
+    odd[some] |= _WHITE[last] | ((one == 0xC2) & ((last == 0x85) | (last == 0xA0))) | ((two >= 0xE1) & (two <= 0xE3) & ((one == 0x80) | (one == 0x81) | (one == 0x9A)))
+    return odd
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of four are equal."""
+    return (a == b).view(np.uint32).ravel() == 0x01010101
+
+
+def _ids_of(blob: bytes, start: np.ndarray, end: np.ndarray, odd: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words in a row, how many each has), each word after a space; odd words have none."""
+    if path not in _known:
+        _known[path] = _Known(_dtype(path))
+    known, enc = _known[path], encoder(path)
+    size = end - start
+    short = size <= 24
+    eight = np.ndarray(len(blob) - 7, "<u8", blob, 0, (1,))  # the eight bytes from each on
+    key = np.empty((len(start), 4), np.uint64)
+    for k in range(3):
+        np.bitwise_and(eight[start + 8 * k], _FIRST[np.clip(size - 8 * k, 0, 8)], out=key[:, k])
+    key[:, 3] = size
+    mixed = key[:, 0] * _SPREAD[0]
+    for k in range(1, 4):
+        mixed += key[:, k] * _SPREAD[k]
+    slot = (mixed >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+    wide, lens = known.ids.take(slot, 0), known.count.take(slot).astype(np.int32)
+    lens[odd] = 0
+    new = np.flatnonzero(~(_same(known.key.take(slot, 0), key) & short | odd))
+    longer = np.zeros(0, np.int32)
+    if len(new):
+        # equal words follow one another; long ones are taken one by one
+        new = new[np.argsort(mixed[new], kind="stable")]
+        first = np.ones(len(new), bool)
+        first[1:] = ~(_same(key[new[1:]], key[new[:-1]]) & short[new[1:]])
+        one = new[first]
+        ids = np.array(enc.encode_ordinary((b" " + b" ".join([blob[a:e] for a, e in zip(start[one].tolist(), end[one].tolist())])).decode("utf-8", "surrogatepass")), np.int32)
+        begin = np.flatnonzero(begins_spaced(path)[ids])  # only a word's first subword begins with a space
+        count = np.diff(np.append(begin, len(ids)))
+        row = np.zeros((len(one), 8), wide.dtype)
+        inside = np.arange(8) < count[:, None]
+        row[inside] = ids[(begin[:, None] + np.arange(8))[inside]]
+        group = np.cumsum(first) - 1
+        wide[new], lens[new] = row[group], count[group]
+        keep = np.flatnonzero((count <= 8) & short[one])
+        place, pick = np.unique(slot[one[keep]], return_index=True)
+        keep = keep[pick]
+        known.key[place], known.count[place], known.ids[place] = key[one[keep]], count[keep], row[keep]
+        many = np.flatnonzero(count[group] > 8)
+        many = many[np.argsort(new[many])]  # in the order of the texts
+        if len(many):
+            longer = np.concatenate([ids[begin[g] : begin[g] + count[g]] for g in group[many].tolist()])
+    inside = np.arange(8) < lens[:, None]
+    if not len(longer):
+        return wide[inside].astype(np.int32), lens
+    flat, fits = np.empty(lens.sum(), np.int32), lens <= 8
+    within = np.repeat(fits, lens)
+    flat[within], flat[~within] = wide[inside & fits[:, None]], longer
+    return flat, lens
+
+
 def encode(texts: list[str], path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, offsets), the same as encoding each text alone.
 
@@ -120,29 +189,20 @@ def encode(texts: list[str], path: str = VOCABULARY) -> tuple[np.ndarray, np.nda
     white space precedes a space are encoded as a whole.
     """
     enc = encoder(path)
-    if path not in _known or len(_known[path]) > REMEMBERED:
-        _known[path] = _Known()
-    known = _known[path]
-    heads, tails, at = [], [], [0]
-    for t in texts:
-        parts = t.split(" ")
-        heads.append(parts[0])
-        tails += parts[1:]
-        at.append(len(tails))
-    codes = np.fromiter(map(known.__getitem__, tails), np.int32, len(tails))
-    if known.new:
-        known.learn(enc, begins_spaced(path))
-    lens = known.lens[codes]
-    flat = known.flat[np.repeat(known.start[codes] - np.cumsum(lens, dtype=np.int64) + lens, lens) + np.arange(lens.sum())]
+    blob, start, end, at = _words(texts)
+    strange = _odd(np.frombuffer(blob, np.uint8), start, end)
+    parts = [_ids_of(blob, start[a : a + LOOKUP], end[a : a + LOOKUP], strange[a : a + LOOKUP], path) for a in range(0, max(1, len(start)), LOOKUP)]
+    flat, lens = (np.concatenate(x) for x in zip(*parts))
     cut = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])[at]
-    odd = np.concatenate([[0], np.cumsum(known.odd[codes])])[at]
+    odd = np.concatenate([[0], np.cumsum(strange)])[at]
     out = []
-    for k, h in enumerate(heads):
+    for k, t in enumerate(texts):
+        h = t.split(" ", 1)[0]
         if odd[k + 1] > odd[k] or (h and h[-1].isspace() and at[k + 1] > at[k]):
-            out.append(np.array(enc.encode_ordinary(texts[k]), np.int32))
+            out.append(np.array(enc.encode_ordinary(t), np.int32))
         else:
             out.append(np.concatenate([np.array(enc.encode_ordinary(h), np.int32), flat[cut[k] : cut[k + 1]]]))
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])])
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in out], dtype=np.int64)])
     return (np.concatenate(out) if out else np.zeros(0, np.int32)), offsets
 
 
@@ -230,30 +290,38 @@ class Attention:
             out[name], at = flat[at : at + n].reshape(shape), at + n
         return out
 
+    def products(self) -> tuple[np.ndarray, np.ndarray]:
+        """(q k', v o): an input's scores are x (q k') x' and what it adds is (weights x) (v o), so that inputs are their own keys and values."""
+        return self.q @ self.k.T * np.float32(WIDTH**-0.5), self.v @ self.o
+
+    def bias(self) -> np.ndarray:
+        """c, within what exp can take: the classes' sums and gradients take exp(c) as a factor, which spares a pass over all places and classes."""
+        return np.clip(self.c, -LARGEST, LARGEST)
+
     def log_probability(self, rows: np.ndarray, target: np.ndarray, skip: int) -> np.ndarray:
         """log p(class) at each place after the first `skip`; target is given for these places only."""
         b, w = rows.shape
         d, n = WIDTH, b * (w - skip)
         x = self.e.take(rows, 0)
         x += self.p
-        kv = times(x.reshape(-1, d), np.concatenate([self.k, self.v], 1)).reshape(b, w, 2 * d)
-        x = np.ascontiguousarray(x[:, skip:]).reshape(n, d)
-        s = times(x, self.q * np.float32(d**-0.5)).reshape(b, w - skip, d) @ turned(kv[..., :d])
+        qk, vo = self.products()
+        own = np.ascontiguousarray(x[:, skip:]).reshape(n, d)
+        s = times(own, qk).reshape(b, w - skip, d) @ turned(x)
         _exp(s)
         s *= self.MASK[skip:]
-        y = (s @ kv[..., d:]).reshape(n, d)
+        y = (s @ x).reshape(n, d)
         y *= (1 / (s.reshape(n, w) @ ONES[:w]))[:, None]
-        h = times(y, self.o)
-        h += x
+        h = times(y, vo)
+        h += own
         z = times(h, self.a)
         z += self.ab
         np.maximum(z, 0, out=z)
         h += times(z, self.b)
-        out = times(h, self.u)
-        out += self.c
+        out, c = times(h, self.u), self.bias()
         own = np.minimum(out.ravel()[np.arange(0, n * CLASSES, CLASSES) + target.ravel()], LARGEST)
+        own += c[target.ravel()]
         _exp(out)
-        return (own - np.log(out @ ONES[:CLASSES])).reshape(b, w - skip)
+        return (own - np.log(out @ np.exp(c))).reshape(b, w - skip)
 
     def step(self, rows: np.ndarray, target: np.ndarray, valid: np.ndarray) -> tuple[float, np.ndarray]:
         """(mean loss, gradient) over the valid places."""
@@ -261,47 +329,55 @@ class Attention:
         G = self.views(g)
         b, w = rows.shape
         d, scale = WIDTH, np.float32(WIDTH**-0.5)
-        # what follows attention is needed at valid places only
-        whole = bool(valid.all())
+        # what follows attention is needed at valid places only; a few others are quicker to take along with a weight of 0 than to leave out
+        count = int(np.count_nonzero(valid))
+        whole = count > 0.9 * valid.size
         pick = slice(None) if whole else np.flatnonzero(valid)
-        x = self.e.take(rows, 0)
-        x += self.p
-        x = x.reshape(-1, d)
-        q, k, v = (times(x, y).reshape(b, w, d) for y in (self.q * scale, self.k, self.v))
-        a = q @ turned(k)
+        weight = valid.ravel()[pick] * np.float32(1 / max(1, count))
+        qk, vo = self.products()
+        x3 = self.e.take(rows, 0)
+        x3 += self.p
+        x = x3.reshape(-1, d)
+        q, turned_x = times(x, qk).reshape(b, w, d), turned(x3)
+        a = q @ turned_x
         _exp(a)
         a *= self.MASK
         # the weights are divided by their sums after the products, which are narrower than they
         one_by = (1 / (a.reshape(-1, w) @ ONES[:w]))[:, None]
-        seen = (a @ v).reshape(-1, d)
+        seen = (a @ x3).reshape(-1, d)
         seen *= one_by
         y = seen[pick]
         n = len(y)
-        h1 = times(y, self.o)
+        h1 = times(y, vo)
         h1 += x[pick]
         z = times(h1, self.a)
         z += self.ab
         np.maximum(z, 0, out=z)
         h2 = times(z, self.b)
         h2 += h1
-        p = times(h2, self.u)
-        p += self.c
+        p, factor = times(h2, self.u), np.exp(self.bias())
         _exp(p)
-        total, share = p @ ONES[:CLASSES], np.float32(1 / max(1, n))
-        at = np.arange(0, n * CLASSES, CLASSES) + target.ravel()[pick]
-        loss = float(-np.log(p.ravel()[at] / total + 1e-12).sum() * share)
-        p *= (share / total)[:, None]
-        p.ravel()[at] -= share
-        sums = np.ones(n, np.float32)
-        G["u"][:], G["c"][:] = cross(h2, p), sums @ p
-        dh = times(p, self.u.T)
+        total = p @ factor
+        at, to = np.arange(0, n * CLASSES, CLASSES), target.ravel()[pick]
+        at += to
+        of = factor[to]
+        loss = float(-np.log(p.ravel()[at] * of / total + 1e-12) @ weight)
+        # the gradient is (weight / total) p factor: a place's part is put on the narrower side of each product, a class's on the parameters
+        p.ravel()[at] -= total / of
+        by = weight / total
+        G["c"][:] = (by @ p) * factor
+        dh = times(p, (self.u * factor).T)
+        dh *= by[:, None]
         G["b"][:] = cross(z, dh)
+        h2 *= by[:, None]
+        G["u"][:] = cross(h2, p) * factor
         dz = times(dh, self.b.T)
-        dz *= z > 0
-        G["a"][:], G["ab"][:] = cross(h1, dz), sums @ dz
+        dz *= (z > 0).astype(np.float32)
+        G["a"][:], G["ab"][:] = cross(h1, dz), np.ones(n, np.float32) @ dz
         dh += times(dz, self.a.T)
-        G["o"][:] = cross(y, dh)
-        dy = times(dh, self.o.T)
+        dvo = cross(y, dh)
+        G["v"][:], G["o"][:] = dvo @ self.o.T, self.v.T @ dvo
+        dy = times(dh, vo.T)
         if not whole:
             dy, some = np.zeros((b * w, d), np.float32), dy
             dy[pick] = some
@@ -309,15 +385,16 @@ class Attention:
         # the softmax's own term, from the sums that it gave
         own = np.einsum("ij,ij->i", dy, seen).reshape(b, w, 1)
         dy = dy.reshape(b, w, d)
-        dv = (a.transpose(0, 2, 1) @ dy).reshape(-1, d)
-        ds = dy @ turned(v)
+        dx = a.transpose(0, 2, 1) @ dy
+        ds = dy @ turned_x
         ds -= own
         ds *= a
-        dq, dk = (ds @ k).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
-        G["q"][:], G["k"][:], G["v"][:] = cross(x, dq) * scale, cross(x, dk), cross(x, dv)
-        dx = times(dq, self.q.T * scale)
-        dx += times(dk, self.k.T)
-        dx += times(dv, self.v.T)
+        dq = (ds @ x3).reshape(-1, d)
+        dx += ds.transpose(0, 2, 1) @ q
+        dqk = cross(x, dq) * scale
+        G["q"][:], G["k"][:] = dqk @ self.k, dqk.T @ self.q
+        dx = dx.reshape(-1, d)
+        dx += times(dq, qk.T)
         dx[pick] += dh
         G["p"][:] = dx.reshape(b, w, d).sum(0)
         _add_rows(G["e"], rows.ravel(), dx)
@@ -340,17 +417,16 @@ class Attention:
                 root = (1 - 0.999**t) ** 0.5
                 for c in range(0, len(g), PART):  # a part stays in the cache
                     grad, mean, square = (y[c : c + PART] for y in (g, m, v))
+                    # both moments are held without their factors 0.1 and 0.001, which the last two numbers have
                     move = grad * grad
-                    move *= 0.001
                     square *= 0.999
                     square += move
-                    grad *= 0.1
                     mean *= 0.9
                     mean += grad
                     np.sqrt(square, out=move)
-                    move += 1e-8 * root
+                    move += 1e-8 * root / 0.001**0.5
                     np.divide(mean, move, out=move)
-                    move *= rate * root / (1 - 0.9**t)
+                    move *= rate * root / (1 - 0.9**t) * 0.1 / 0.001**0.5
                     self.flat[c : c + PART] -= move
                 each.append(loss)
             losses.append(float(np.mean(each)) if each else 0.0)
@@ -363,7 +439,8 @@ def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     order = np.argsort(rows.astype(np.int16), kind="stable")  # by radix
     r = rows[order]
     first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    out[r[first]] += np.add.reduceat(values.take(order, 0), first, axis=0)
+    # as complex numbers two are added at a time
+    out[r[first]] += np.add.reduceat(values.take(order, 0).view(np.complex64), first, axis=0).view(np.float32)
 
 
 def batches_of(ids: np.ndarray, off: np.ndarray, classes: Classes) -> tuple[np.ndarray, ...]:
@@ -387,21 +464,29 @@ def batches_of(ids: np.ndarray, off: np.ndarray, classes: Classes) -> tuple[np.n
 def score_tokens(model: Attention, classes: Classes, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Log probability of each token, by the attention model."""
     out = np.zeros(len(ids), np.float32)
-    doc, first, _, _ = windows(np.diff(off))
-    for some, skip in ((np.flatnonzero(first == 0), 0), (np.flatnonzero(first > 0), OVERLAP)):
-        for a in range(0, len(some), BATCH):
-            pick = some[a : a + BATCH]
-            d, f = doc[pick], first[pick]
-            lens = np.minimum(off[d + 1] - off[d] - f, WINDOW)
-            at = (off[d] + f)[:, None] + np.arange(WINDOW)
-            np.minimum(at, len(ids) - 1, out=at)
-            target = ids[at[:, skip:]]
-            rows = classes.row[ids[np.maximum(at - 1, 0)]]
-            rows[f == 0, 0] = ROWS - 1
-            lp = model.log_probability(rows, classes.of[target], skip)
-            lp += classes.log_share[target]
-            inside = np.arange(skip, WINDOW) < lens[:, None]
-            out[at[:, skip:][inside]] = lp[inside]
+    lens = np.diff(off)
+    doc, first, _, _ = windows(lens)
+    begin, size = off[doc] + first, np.minimum(lens[doc] - first, WINDOW)
+    # each place's input and class, in runs of WINDOW; places behind the last text are masked
+    padding = np.zeros(WINDOW, np.int64)
+    rows_from = np.lib.stride_tricks.sliding_window_view(np.concatenate([[ROWS - 1], classes.row[ids], padding]), WINDOW)
+    class_from = np.lib.stride_tricks.sliding_window_view(np.concatenate([classes.of[ids], padding]), WINDOW)
+    for chosen, skip in ((first == 0, 0), (first > 0, OVERLAP)):
+        for full in (True, False):
+            some = np.flatnonzero(chosen & ((size == WINDOW) == full))
+            for a in range(0, len(some), BATCH):
+                pick = some[a : a + BATCH]
+                rows = rows_from[begin[pick]]
+                if not skip:
+                    rows[:, 0] = ROWS - 1
+                lp = model.log_probability(rows, class_from[begin[pick], skip:], skip)
+                at = begin[pick, None] + np.arange(skip, WINDOW)
+                if full:
+                    out[at] = lp
+                else:
+                    inside = np.arange(skip, WINDOW) < size[pick, None]
+                    out[at[inside]] = lp[inside]
+    out += classes.log_share[ids]
     return out
 
 
@@ -414,6 +499,11 @@ def stops(vocabulary: str) -> np.ndarray:
     return out
 
 
+@lru_cache(4)
+def _id_hashes(size: int) -> np.ndarray:
+    return mix(np.arange(1, size + 1, dtype=np.uint64))
+
+
 def sentences(ids: np.ndarray, off: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(where in ids each sentence begins, its hash, where each text's sentences begin)."""
     if not len(ids):
@@ -424,7 +514,7 @@ def sentences(ids: np.ndarray, off: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     first = np.flatnonzero(begins[:-1])
     length = np.diff(np.append(first, len(ids)))
     place = np.arange(len(ids)) - np.repeat(first, length)
-    h = mix(mix(ids.astype(np.uint64) + np.uint64(1)) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h = mix(_id_hashes(len(stop))[ids] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return first, mix(np.add.reduceat(h, first) + length.astype(np.uint64)), np.searchsorted(first, off)
 
 

@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +171,35 @@ def test_encode_equals_the_plain_encoder():
             assert ids[off[k] : off[k + 1]].tolist() == lm.encoder(lm.VOCABULARY).encode_ordinary(t)
 
 
+@pytest.mark.parametrize("slots,lookup", [(1 << 20, 1 << 17), (64, 37)])  # in 64 places words push each other out
+def test_encode_of_odd_texts(monkeypatch, slots, lookup):
+    monkeypatch.setattr(lm, "SLOTS", slots)
+    monkeypatch.setattr(lm, "LOOKUP", lookup)
+    monkeypatch.setattr(lm, "_known", {})
+    rng = np.random.default_rng(slots)
+    parts = [*"ab é’”… \u0085\xa0\u2003\u3000\n\t\x1c\x00'sà漢😀.!1", *[" "] * 6, "word", "Licence", "a" * 24, "a" * 25, "a" * 60, "zqxjkvzqxjkv", "\x00\x00"]
+    for _ in range(10):
+        texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(100)]
+        ids, off = lm.encode(texts)
+        for k, t in enumerate(texts):
+            assert ids[off[k] : off[k + 1]].tolist() == lm.encoder(lm.VOCABULARY).encode_ordinary(t)
+    assert len(lm.encode([])[0]) == len(lm.encode([""])[0]) == 0
+
+
+def test_many_words_are_remembered(monkeypatch):
+    enc, read = lm.encoder(lm.VOCABULARY), []
+    lm.begins_spaced(lm.VOCABULARY)
+    monkeypatch.setattr(lm, "_known", {})
+    monkeypatch.setattr(lm, "encoder", lambda path: SimpleNamespace(encode_ordinary=lambda t: read.append(len(t)) or enc.encode_ordinary(t)))
+    texts = ["first " + " ".join(f"w{k}x" for k in range(a, a + 10_000)) for a in range(0, 150_000, 10_000)]
+    lm.encode(texts)
+    once = sum(read)
+    read.clear()
+    for t in texts:
+        lm.encode([t])
+    assert sum(read) < 0.2 * once
+
+
 def _small_model():
     ids, off = lm.encode(pq.read_table(f"{SF}/documents.parquet").slice(0, 120)["text"].to_pylist())
     classes = lm.Classes(np.bincount(ids, minlength=50_256))
@@ -226,6 +256,55 @@ def test_lm_gradient():
             assert (a - b) / 2e-2 == pytest.approx(g[i], abs=3e-3, rel=0.05)
 
 
+def test_padded_places_have_no_part_in_a_step():
+    m, classes, ids, off, _ = _small_model()
+    r, t, v = lm.batches_of(ids[: off[6]], off[:7], classes)
+    y = classes.of[t]
+    full, padded = np.flatnonzero(v.all(1)), np.flatnonzero(~v.all(1))
+    assert len(full) > 30 and len(padded)
+    for some in (np.append(full, padded[0]), padded, np.append(full[:1], padded)):  # few padded places, and many
+        loss, g = m.step(r[some], y[some], v[some])
+        each = [(v[k].sum(), *m.step(r[k : k + 1], y[k : k + 1], v[k : k + 1])) for k in some]
+        n = sum(e[0] for e in each)
+        assert loss == pytest.approx(sum(e[0] * e[1] for e in each) / n, rel=1e-4)
+        assert g == pytest.approx(sum(e[0] * e[2] for e in each) / n, abs=2e-5)
+        again = m.step(np.where(v[some], r[some], 9), np.where(v[some], y[some], 5), v[some])
+        assert again[0] == pytest.approx(loss, rel=1e-5) and again[1] == pytest.approx(g, abs=1e-5)
+
+
+def test_fit_is_adam_by_the_book():
+    m, classes, ids, off, _ = _small_model()
+    r, t, v = lm.batches_of(ids[: off[9]], off[:10], classes)
+    got, want = lm.Attention(m.flat.copy()), lm.Attention(m.flat.copy())
+    got.fit(r, classes.of[t], v, epochs=2, rate=0.003, batch=40, seed=8)
+    rng, mean, square, k = np.random.default_rng(8), 0.0, 0.0, 0
+    for _ in range(2):
+        order = rng.permutation(len(r))
+        for a in range(0, len(order), 40):
+            some = order[a : a + 40]
+            g = want.step(r[some], classes.of[t[some]], v[some])[1].astype(float)
+            k += 1
+            mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
+            want.flat -= (0.003 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
+    assert k > 5 and np.abs(got.flat - m.flat).max() > 0.003
+    assert np.quantile(np.abs(got.flat - want.flat), 0.99) < 1e-4
+
+
+def test_inputs_are_their_own_keys_and_values(monkeypatch):
+    m, classes, ids, off, _ = _small_model()
+    r, t, v = lm.batches_of(ids[: off[9]], off[:10], classes)
+    some = np.flatnonzero(v.all(1))[:64]
+    times, cross, made = lm.times, lm.cross, []
+    monkeypatch.setattr(lm, "times", lambda x, w: made.append(x.shape[1] * w.shape[1]) or times(x, w))
+    monkeypatch.setattr(lm, "cross", lambda x, y: made.append(x.shape[1] * y.shape[1]) or cross(x, y))
+    square, rest = lm.WIDTH**2, lm.WIDTH * (2 * lm.HIDDEN + lm.CLASSES)
+    m.step(r[some], classes.of[t[some]], v[some])
+    assert sum(made) == 6 * square + 3 * rest  # a place has two projections, each forward, backward and for its gradient
+    made.clear()
+    m.log_probability(r[some], classes.of[t[some]], 0)
+    assert sum(made) == 2 * square + rest
+
+
 def test_products_by_blocks_are_the_plain_ones():
     rng = np.random.default_rng(2)
     for n in (0, 1, lm.TALL - 1, lm.TALL, 3 * lm.TALL + 5):
