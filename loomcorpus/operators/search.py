@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,35 +16,81 @@ from pyspark.sql.types import IntegerType, StringType, StructType
 from ..functions import text as T
 from ..shared import materialise, small
 
+#: Bytes of text whose n-grams are in memory at once, if it isn't one page.
+TEXT_AT_ONCE = 1 << 19
 
-#: Pages whose n-grams are in memory at once.
-PAGES_AT_ONCE = 256
 
+def chunks(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with up to `most` bytes of text, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        e = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, e - a)
+        a = e
 
-def _grams(toks: pa.Array, prefixes: list[str] | None) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """(page number, phrase, occurrences) of the n-grams of one to three words of each page's tokens."""
-    flat, page = toks.flatten(), pc.list_parent_indices(toks).to_numpy()
-    first = np.arange(len(flat))
+
+def grams(toks: pa.Array, prefixes: list[str] | None = None) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
+    """(words, page number, three numbers) of the n-grams of one to three words of each page's tokens.
+
+    words are the distinct ones in order. A number is a word's place in words, plus one; 0 is no word. With prefixes, n-grams whose first word may begin one.
+    """
+    coded, page = toks.flatten().dictionary_encode(), pc.list_parent_indices(toks).to_numpy().astype(np.uint64)
+    order = pc.sort_indices(coded.dictionary)
+    words, rank = coded.dictionary.take(order), np.empty(len(order), np.uint64)
+    rank[order.to_numpy()] = np.arange(1, len(order) + 1, dtype=np.uint64)
+    word = rank[coded.indices.to_numpy()]
+    first = np.arange(len(word))
     if prefixes is not None:  # a phrase begins with a prefix only if its first word begins with the prefix's, or is it
-        begins = [pc.starts_with(flat, g.split(" ")[0]) for g in prefixes]
-        first = np.flatnonzero(np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in begins])) if begins else first[:0]
-    phrases, pages = [], []
+        begins = [pc.starts_with(words, g.split(" ")[0]).to_numpy(zero_copy_only=False) for g in prefixes]
+        first = np.flatnonzero(np.r_[False, np.logical_or.reduce(begins)][word]) if begins else first[:0]
+    pages, numbers = [], []
     for n in (1, 2, 3):
         if n > 1:
-            first = first[first + n - 1 < len(flat)]
+            first = first[first + n - 1 < len(word)]
             first = first[page[first + n - 1] == page[first]]
-        words = [flat.take(pa.array(first + k)) for k in range(n)]
-        phrases.append(pc.binary_join_element_wise(*words, " ") if n > 1 else words[0])
         pages.append(page[first])
-    phrase, number = pa.concat_arrays(phrases), np.concatenate(pages)
+        numbers.append([word[first + k] if k < n else np.zeros(len(first), np.uint64) for k in range(3)])
+    return words, np.concatenate(pages), [np.concatenate(x) for x in zip(*numbers)]
+
+
+def distinct(columns: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of columns, in order, and how often each occurs; a column's numbers are under its size."""
+    if math.prod(sizes) < 1 << 64:
+        key = np.zeros(len(columns[0]), np.uint64)
+        for c, s in zip(columns, sizes):
+            key = key * np.uint64(s) + c
+        key.sort()
+        new = np.flatnonzero(np.r_[[True] * bool(len(key)), key[1:] != key[:-1]])
+        left, out = key[new], []
+        for s in reversed(sizes):
+            left, c = np.divmod(left, np.uint64(s)) if s > 1 else (left, np.zeros(len(left), np.uint64))
+            out.insert(0, c)
+    else:
+        order = np.lexsort(columns[::-1])
+        rows = [c[order] for c in columns]
+        new = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in rows])])
+        out = [c[new] for c in rows]
+    return out, np.diff(np.r_[new, len(columns[0])]).astype(np.int64)
+
+
+def joined(words: pa.Array, gram: list[np.ndarray]) -> pa.Array:
+    """The phrases of n-grams given by numbers as grams() has them."""
+    parts = [words.take(pa.array(g.astype(np.int64) - 1, mask=g == 0)) for g in gram]
+    return pc.binary_join_element_wise(*parts, " ", null_handling="skip")
+
+
+def _counted(toks: pa.Array, prefixes: list[str] | None) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(page number, phrase, occurrences) of the n-grams of one to three words of each page's tokens."""
+    words, page, gram = grams(toks, prefixes)
+    (page, *gram), n = distinct([page, *gram], [len(toks)] + [len(words) + 1] * 3)
+    page, phrase, n = page.astype(np.int64), joined(words, gram), pa.array(n, pa.int32())
     if prefixes:
         ok = pc.starts_with(phrase, prefixes[0])
         for g in prefixes[1:]:
             ok = pc.or_(ok, pc.starts_with(phrase, g))
-        phrase, number = phrase.filter(ok), number[ok.to_numpy(zero_copy_only=False)]
-    counted = pa.table({"page": number, "phrase": phrase}).group_by(["page", "phrase"]).aggregate([([], "count_all")]).combine_chunks()
-    column = lambda c: counted[c].chunk(0) if counted.num_rows else pa.array([], counted.schema.field(c).type)
-    return column("page").to_numpy(), column("phrase"), column("count_all").cast(pa.int32())
+        page, phrase, n = page[ok.to_numpy(zero_copy_only=False)], phrase.filter(ok), n.filter(ok)
+    return page, phrase, n
 
 
 def postings(pages: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
@@ -55,9 +102,8 @@ def postings(pages: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, PAGES_AT_ONCE):
-                b = whole.slice(a, PAGES_AT_ONCE)
-                page, phrase, n = _grams(T.token_lists(b["text_content"]), prefixes)
+            for b in chunks(whole, "text_content", TEXT_AT_ONCE):
+                page, phrase, n = _counted(T.token_lists(b["text_content"]), prefixes)
                 own = b.select(["page_id", "url", "crawl_job_id", "crawled_at"]).take(pa.array(page))
                 yield pa.RecordBatch.from_arrays([*own.columns, phrase, n], names=[*own.schema.names, "phrase", "occurrences"])
 

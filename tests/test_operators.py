@@ -7,6 +7,8 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +205,12 @@ def test_stems_of_all_tokens_equal_a_loop(spark):
     rows = registry.queries()["stem_english"](spark, SF).collect()
     assert len({r.lang for r in rows}) == 4 and len({(r.lang, r.token) for r in rows}) == len(rows)
     assert all(r.stem == (stem.porter2(r.token) if r.lang == "en" else r.token) for r in rows)
+
+
+def test_phrases_are_counted_by_bytes_of_text_and_without_a_bound_on_words():
+    batch = pa.record_batch([pa.array(["a" * 9, None, "b" * 30, "", "c" * 5, "d" * 5])], names=["t"])
+    assert [b.num_rows for b in search.chunks(batch, "t", 10)] == [2, 1, 3]
+    columns = [np.array([3, 1, 3, 1, 2], np.uint64), np.array([0, 5, 0, 4, 0], np.uint64)]
+    for sizes in ([4, 6], [1 << 40, 1 << 40]):  # packed into one number, and too large for it
+        rows, n = search.distinct(columns, sizes)
+        assert [r.tolist() for r in rows] == [[1, 1, 2, 3], [4, 5, 0, 0]] and n.tolist() == [1, 1, 1, 2]
