@@ -9,6 +9,7 @@ from ..functions import hooks
 from ..functions import text as T
 from ..functions.lexicon import STOP_WORDS
 from ..operators import search as S
+from ..operators.figures import phrase_figures
 from ..shared import materialise, small
 from ..tables import JOBS_SQL, PAGES_SQL, crawl_jobs, crawled_pages, read, sql_values, values
 from .registry import register
@@ -234,20 +235,11 @@ grams_ AS (SELECT url, crawl_job_id, unnest({grams_sql('toks')}) AS phrase FROM
 phrases_ AS (SELECT DISTINCT phrase, TRUE AS extracted FROM grams_ UNION SELECT phrase, FALSE FROM {_MANUAL_SQL})"""
 
 
-def _whole_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.postings(crawled_pages(spark, sf_dir).filter(~F.col("is_archived")))
-
-
 @register("phrase_stats", f"{_WHOLE_SQL}, s_ AS (SELECT phrase, count(*) AS match_count, count(DISTINCT url) AS page_count FROM grams_ GROUP BY phrase) SELECT phrase, extracted, coalesce(match_count, 0)::BIGINT AS match_count, coalesce(page_count, 0)::BIGINT AS page_count FROM phrases_ LEFT JOIN s_ USING (phrase)")
 def phrase_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures of every phrase of the index, and of the ones entered by hand, in one aggregation; the latter get theirs by a mark."""
-    manual = values(spark, MANUAL, _MANUAL_SCHEMA).select("phrase").distinct()
-    found = _whole_index(spark, sf_dir).select("phrase", "occurrences", "url")
-    marks = manual.select("phrase", F.lit(0).alias("occurrences"), F.lit(None).cast("string").alias("url"))
-    # a url has one row for each of its phrases
-    stats = found.unionByName(marks).groupBy("phrase").agg(F.sum("occurrences").alias("match_count"), F.count("url").alias("page_count"), F.count_if(F.col("url").isNull()).alias("entered"))
-    kinds = F.filter(F.array(F.when(F.col("page_count") > 0, True), F.when(F.col("entered") > 0, False)), lambda x: x.isNotNull())
-    return stats.select("phrase", F.explode(kinds).alias("extracted"), "match_count", "page_count").orderBy(F.desc("match_count"), "phrase", "extracted")
+    """Figures of every phrase of the index, and of the ones entered by hand."""
+    pages = crawled_pages(spark, sf_dir).filter(~F.col("is_archived"))
+    return phrase_figures(pages, values(spark, MANUAL, _MANUAL_SCHEMA).select("phrase"))
 
 
 @register("extracted_phrases", f"{_WHOLE_SQL} SELECT DISTINCT phrase FROM phrases_ WHERE contains(lower(phrase), 'ing') AND phrase IN (SELECT phrase FROM grams_ WHERE crawl_job_id = 'src3')")

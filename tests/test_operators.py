@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomcorpus.operators import pages, search, vectors
+from loomcorpus.operators import figures, pages, search, vectors
 from loomcorpus.plans import registry
 from loomcorpus.sources import tables as sources
 from loomcorpus.streaming import ingest
@@ -207,6 +207,15 @@ def test_stems_of_all_tokens_equal_a_loop(spark):
     assert all(r.stem == (stem.porter2(r.token) if r.lang == "en" else r.token) for r in rows)
 
 
+def test_phrase_figures_are_in_order_over_ranges_and_parts(spark, duck, monkeypatch):
+    for name, value in {"RANGE_BYTES": 50_000, "TEXT_AT_ONCE": 20_000, "BLOCK_ROWS": 500, "PART_ROWS": 5000, "MANY": 20}.items():
+        monkeypatch.setattr(figures, name, value)
+    got = registry.queries()["phrase_stats"](spark, SF)
+    assert "RangePartitioning" not in got._jdf.queryExecution().toString()
+    want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()['phrase_stats']}) ORDER BY match_count DESC, phrase, extracted").fetchall()
+    assert [tuple(r) for r in got.collect()] == want
+
+
 def test_phrases_are_counted_by_bytes_of_text_and_without_a_bound_on_words():
     batch = pa.record_batch([pa.array(["a" * 9, None, "b" * 30, "", "c" * 5, "d" * 5])], names=["t"])
     assert [b.num_rows for b in search.chunks(batch, "t", 10)] == [2, 1, 3]
